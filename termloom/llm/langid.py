@@ -98,15 +98,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     y = np.array([labels.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     held = rng.random(len(y)) < 0.2
-    col = pa.array(texts, pa.string())
-    o, d = buffers(col)
-    grams, _ = subwords(o, d)
-    bucket, doc = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
-    # one entry for each doc and bucket, with its share of the doc
-    key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-    doc, bucket = key // BUCKETS, key % BUCKETS
-    size = np.bincount(doc, weights=count, minlength=len(y))
-    share = (count / size[doc]).astype(np.float32)
+    # one entry for each text and bucket, with its share of the text; a piece of the texts at a time
+    docs, buckets, shares, base = [], [], [], 0
+    for piece in pieces(iter(pa.table({"text": pa.array(texts, pa.string())}).to_batches())):
+        grams, _ = subwords(*buffers(piece.column(0)))
+        key, count = np.unique(np.concatenate([doc * BUCKETS + bucket for bucket, doc in grams]), return_counts=True)
+        doc = key // BUCKETS
+        docs.append((doc + base).astype(np.int32))
+        buckets.append((key % BUCKETS).astype(np.int32))
+        shares.append((count / np.bincount(doc, weights=count)[doc]).astype(np.float32) if len(key) else np.zeros(0, np.float32))
+        base += piece.num_rows
+    doc, bucket, share = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (docs, buckets, shares))
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     emb = (rng.normal(size=(BUCKETS, DIM)) / DIM).astype(np.float32)
     w = np.zeros((DIM, len(labels)), np.float32)
@@ -134,8 +136,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     model = Model(labels, emb @ w, b, 1.0, 0.0)
     hold = np.flatnonzero(held) if held.any() else np.arange(len(y))
     if len(hold):
-        o, d = buffers(pa.array([texts[i] for i in hold], pa.string()))
-        mean, _, letters = _sums(o, d, model.scores)
+        parts = [_sums(*buffers(p.column(0)), model.scores) for p in pieces(iter(pa.table({"text": pa.array([texts[i] for i in hold], pa.string())}).to_batches()))]
+        mean, letters = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         logits, right = mean + b, y[hold]
         nll = {t: -np.log(softmax(logits / t)[np.arange(len(hold)), right] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
         model.temperature = float(min(nll, key=nll.get))
