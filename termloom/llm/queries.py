@@ -6,22 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bpe, decontam, langid, simhash, substring
+from termloom.llm import ann, bpe, chat, decontam, langid, lm, quality, sharding, simhash, substring
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, benchmark = _table("documents"), _table("benchmark")
+documents, benchmark, labels = _table("documents"), _table("benchmark"), _table("labels")
+embeddings, conversations = _table("embeddings"), _table("conversations")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": lambda s, d: ann.neighbours(embeddings(s, d)),
+        "op2_chat": lambda s, d: chat.format_conversations(conversations(s, d)),
         "op3_bpe": lambda s, d: bpe.encode_documents(documents(s, d)),
         "op4_simhash_groups": lambda s, d: simhash.near_duplicate_groups(documents(s, d)),
         "op5_repeated_spans": lambda s, d: substring.repeated_spans(documents(s, d)),
+        "op6_quality": lambda s, d: quality.classify(documents(s, d), labels(s, d)),
         "op7_leaks": lambda s, d: decontam.leaks(documents(s, d), benchmark(s, d)),
+        "op8_shards": lambda s, d: sharding.assign(documents(s, d)),
+        "op9_lm_scores": lambda s, d: lm.score(documents(s, d)),
         "op10_language": lambda s, d: langid.identify(documents(s, d)),
     }
 
@@ -47,4 +53,4 @@ FROM r GROUP BY doc_id, first, run
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repeated_spans": OP5_SQL}
+    return {"op2_chat": chat.SQL, "op5_repeated_spans": OP5_SQL, "op8_shards": sharding.SQL}
