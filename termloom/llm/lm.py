@@ -281,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
             sym = symbols(h, known)
             lp = log_probs(p, contexts(sym, doc), sym)
             n = np.bincount(doc, minlength=piece.num_rows)
-            total = np.bincount(doc, weights=lp, minlength=piece.num_rows)
+            total = np.bincount(doc, weights=lp, minlength=piece.num_rows).astype(np.float64)  # of no words numpy makes integers
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_prob", "per_word"]
             )
