@@ -25,7 +25,7 @@ from termloom.llm._text import buffers, pieces
 BUCKETS, DIM = 1 << 16, 16
 #: Labelled rows for each language that the fit may read, at most; a fifth of them are held out.
 SAMPLE = 600
-EPOCHS, BATCH, RATE = 6, 16, 0.5
+EPOCHS, BATCH, RATE, EMBED = 6, 16, 0.5, 0.5
 #: Share of held-out texts whose confidence may fall under the threshold.
 REJECT = 0.002
 
@@ -110,6 +110,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         base += piece.num_rows
     doc, bucket, share = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (docs, buckets, shares))
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    # steps are normalised by a text's own weight, so that a text of few subwords moves them no further than a long one
+    weight = np.bincount(doc, weights=share.astype(np.float64) ** 2, minlength=len(y)).astype(np.float64)
+    step_share = (share / weight[doc]).astype(np.float32)
     emb = (rng.normal(size=(BUCKETS, DIM)) / DIM).astype(np.float32)
     w = np.zeros((DIM, len(labels)), np.float32)
     b = np.zeros(len(labels), np.float32)
@@ -130,16 +133,23 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             g = softmax(x @ w + b)
             g[np.arange(len(ids)), y[ids]] -= 1
             back = g @ w.T
-            w -= rate * 4 * x.T @ g
+            size = np.maximum(1, (x * x).sum(axis=1, keepdims=True))
+            w -= rate * 4 * (x / size).T @ g
             b -= rate * 0.1 * g.mean(axis=0)
-            np.subtract.at(emb, bucket[rows], rate * 200 * share[rows, None] * back[owner])
+            np.subtract.at(emb, bucket[rows], rate * EMBED * step_share[rows, None] * back[owner])
     model = Model(labels, emb @ w, b, 1.0, 0.0)
     hold = np.flatnonzero(held) if held.any() else np.arange(len(y))
     if len(hold):
         parts = [_sums(*buffers(p.column(0)), model.scores) for p in pieces(iter(pa.table({"text": pa.array([texts[i] for i in hold], pa.string())}).to_batches()))]
         mean, letters = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         logits, right = mean + b, y[hold]
-        nll = {t: -np.log(softmax(logits / t)[np.arange(len(hold)), right] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
+        # as if one text more had been wrong: where none is, certainty grows with their number and no further
+        wrong = 1 / (len(hold) + 2)
+        nll = {}
+        for t in np.geomspace(0.05, 20, 60):
+            logp = np.log(softmax(logits / t) + 1e-12)
+            mine = logp[np.arange(len(hold)), right]
+            nll[t] = -((1 - wrong) * mine + wrong / max(1, len(labels) - 1) * (logp.sum(axis=1) - mine)).mean()
         model.temperature = float(min(nll, key=nll.get))
         conf = softmax(logits / model.temperature).max(axis=1)[letters > 0]
         low = float(np.quantile(conf, REJECT)) if len(conf) else 0.0
