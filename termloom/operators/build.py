@@ -116,15 +116,29 @@ def canonical(corpus: DataFrame) -> DataFrame:
 
     Texts are compared whole; they travel as a digest of 256 bits.
     """
-    text = F.sha2(T.collapse_space(F.lower(T.normalize(F.coalesce("text", F.lit(""))))), 256)
+    return first_of_digest(corpus.where("doc_id IS NOT NULL").select("doc_id", digest(F.col("text")).alias("digest")))
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(T.collapse_space(F.lower(T.normalize(F.coalesce(text, F.lit(""))))), 256)
+
+
+def first_of_digest(rows: DataFrame) -> DataFrame:
     first = F.min("doc_id").over(Window.partitionBy("digest"))
-    return corpus.where("doc_id IS NOT NULL").select("doc_id", text.alias("digest")).select("doc_id", (F.col("doc_id") == first).alias("canonical"))
+    return rows.select("doc_id", (F.col("doc_id") == first).alias("canonical"))
 
 
 def spell_words(corpus: DataFrame, config: BuildConfig = BuildConfig(), dictionary: DataFrame | None = None) -> DataFrame:
     """(word, df) of the words of at most 40 characters in spell_min_df documents or more, and a dictionary's."""
-    words = F.array_distinct(T.split_words(F.lower(T.normalize(F.coalesce("text", F.lit(""))))))
-    once = corpus.where("doc_id IS NOT NULL").select(F.explode(words).alias("word")).where(F.length("word") <= 40)
+    return count_spell_words(corpus.where("doc_id IS NOT NULL").select(spelled(F.col("text")).alias("spelled")), config, dictionary)
+
+
+def spelled(text: Column) -> Column:
+    return F.array_distinct(T.split_words(F.lower(T.normalize(F.coalesce(text, F.lit(""))))))
+
+
+def count_spell_words(rows: DataFrame, config: BuildConfig, dictionary: DataFrame | None = None) -> DataFrame:
+    once = rows.select(F.explode("spelled").alias("word")).where(F.length("word") <= 40)
     out = once.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= config.spell_min_df)
     if dictionary is not None:
         known = dictionary.select("word").distinct()

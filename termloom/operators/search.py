@@ -199,14 +199,24 @@ def proximity_bonus(index: Index, hits: DataFrame, terms: DataFrame, weight: flo
 
 
 def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits that hold every quoted phrase of their query word for word."""
-    quoted = queries.select("qid", T.phrases(F.col("text")).alias("phrases"))
-    def holds(words: Column, phrase: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - F.size(phrase) + 1)
-        return F.when(F.size(words) >= F.size(phrase), F.exists(starts, lambda i: F.slice(words, i, F.size(phrase)) == phrase)).otherwise(False)
+    """Hits that hold every quoted phrase of their query word for word.
 
-    rows = hits.join(quoted, "qid").join(index.docs.select("doc_id", "terms"), "doc_id")
-    return rows.where(F.forall("phrases", lambda p: holds(F.col("terms"), p))).drop("phrases", "terms")
+    The postings decide first which documents hold all of the phrases' indexed words; only those are
+    compared with the phrases, as strings of words between blanks.
+    """
+    quoted = queries.select("qid", T.phrases(F.col("text")).alias("phrases"))
+    wanted = quoted.select("qid", F.explode(F.array_distinct(F.flatten("phrases"))).alias("term"))
+    # stopwords have no postings: a query whose phrases hold nothing else is decided by comparison alone
+    known = wanted.join(index.vocab.select("term"), "term")
+    needed = known.groupBy("qid").agg(F.count("*").alias("needed"))
+    holds = index.postings.where("tf > 0").join(known, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
+    near = hits.join(needed, "qid", "left").join(holds, ["qid", "doc_id"], "left")
+    near = near.where(F.coalesce("n", F.lit(0)) == F.coalesce("needed", F.lit(0))).drop("n", "needed")
+    blank = F.lit(" ")
+    said = index.docs.select("doc_id", F.concat(blank, F.array_join("terms", " "), blank).alias("__said"))
+    rows = near.join(quoted, "qid").join(said, "doc_id")
+    found = F.forall("phrases", lambda p: F.contains(F.col("__said"), F.concat(blank, F.array_join(p, " "), blank)))
+    return rows.where(found).drop("phrases", "__said")
 
 
 def canonical_only(index: Index, hits: DataFrame) -> DataFrame:

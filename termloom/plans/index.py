@@ -84,7 +84,13 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
         df.write.mode("overwrite").parquet(f"{stage}/{name}")
         return spark.read.parquet(f"{stage}/{name}")
 
-    tokenised = kept(B.terms(corpus, config), "terms")
+    # one scan of the texts serves the index, the spelling tables and the copies
+    text, usable = F.col("text"), corpus.where("doc_id IS NOT NULL")
+    titles = [B.T.tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
+    read = kept(
+        usable.select("doc_id", B.T.tokens(B.body(corpus, config)).alias("terms"), *titles, B.spelled(text).alias("spelled"), B.digest(text).alias("digest")), "terms"
+    )
+    tokenised = read.drop("spelled", "digest")
     n_docs = tokenised.count()
     df = B.document_frequency(tokenised)
     stops = kept(B.stopwords(df, n_docs, config).coalesce(1), "stops")
@@ -107,10 +113,10 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
     postings = E.expanded(tf, edges).join(lengths, "doc_id").select("term", "doc_id", "tf", "w", "dl")
     fields = [c for c in corpus.columns if c not in ("doc_id", "text", "title", "dl", "terms", "canonical")]
     docs = (
-        tokenised.select("doc_id", "terms").join(lengths, "doc_id").join(B.canonical(corpus), "doc_id")
+        tokenised.select("doc_id", "terms").join(lengths, "doc_id").join(B.first_of_digest(read.select("doc_id", "digest")), "doc_id")
         .join(corpus.where("doc_id IS NOT NULL").select("doc_id", *fields), "doc_id")
     )
-    spell = kept(B.spell_words(corpus, config, dictionary), "spell")
+    spell = kept(B.count_spell_words(read, config, dictionary), "spell")
     total = lengths.agg(F.avg("dl"), F.sum("dl")).first()
     stats = {"n_docs": n_docs, "n_terms": vocab.count(), "n_stopwords": stops.count(), "nnz": tf.count(), "words": int(total[1] or 0)}
     index = Index(docs, vocab, postings, B.bigrams(words, n_docs, config), near, spell, B.spell_deletes(spell), n_docs, float(total[0] or 0.0), config, stats)
