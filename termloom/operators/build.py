@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.functions.subwords import tokeniser
 from termloom.plans.config import BuildConfig
 
 
@@ -25,8 +26,9 @@ def body(corpus: DataFrame, config: BuildConfig) -> Column:
 
 def terms(corpus: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(doc_id, terms[, title_terms]): the words of each document, stopwords included."""
-    extra = [T.tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
-    return corpus.where("doc_id IS NOT NULL").select("doc_id", T.tokens(body(corpus, config)).alias("terms"), *extra)
+    tokens = tokeniser(config.tokenizer)
+    extra = [tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
+    return corpus.where("doc_id IS NOT NULL").select("doc_id", tokens(body(corpus, config)).alias("terms"), *extra)
 
 
 def positions(tokenised: DataFrame) -> DataFrame:

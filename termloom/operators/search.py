@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.functions.subwords import tokeniser
 from termloom.plans.config import BuildConfig
 from termloom.plans.index import Index
 
@@ -24,25 +25,38 @@ def saturate(w: Column, dl: Column, avgdl: float, config: BuildConfig) -> Column
     return F.when(w > 0, w * (config.k1 + 1) / (w + config.k1 * length) + config.delta).otherwise(0.0)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def _distinct(queries: DataFrame, text: Column, config: BuildConfig) -> DataFrame:
+    said = queries.select("qid", tokeniser(config.tokenizer)(text).alias("terms"))
+    return said.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+
+
+def query_terms(queries: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(qid, term) of the words that each query (qid, text) includes."""
-    return queries.select("qid", F.explode(T.query_terms(T.included_text(F.col("text")))).alias("term"))
+    return _distinct(queries, T.included_text(F.col("text")), config)
 
 
-def excluded_terms(queries: DataFrame) -> DataFrame:
+def excluded_terms(queries: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(qid, term) of the words that each query excludes."""
-    return queries.select("qid", F.explode(T.query_terms(T.excluded_text(F.col("text")))).alias("term"))
+    return _distinct(queries, T.excluded_text(F.col("text")), config)
 
 
-def ordered_pairs(queries: DataFrame) -> DataFrame:
+def ordered_pairs(queries: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(qid, t1, t2) of neighbouring words, stopwords included, once for each occurrence."""
-    words = queries.select("qid", F.posexplode(T.tokens(T.included_text(F.col("text")))).alias("pos", "t1"))
+    said = queries.select("qid", tokeniser(config.tokenizer)(T.included_text(F.col("text"))).alias("terms"))
+    words = said.select("qid", F.posexplode("terms").alias("pos", "t1"))
     after = F.lead("t1").over(Window.partitionBy("qid").orderBy("pos"))
     return words.select("qid", "t1", after.alias("t2")).where("t2 IS NOT NULL")
 
 
-def or_groups(queries: DataFrame) -> DataFrame:
+def or_groups(queries: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(qid, grp, term)."""
+    if config.tokenizer:
+        words = queries.select("qid", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
+        parts = words.select("qid", "pos", F.filter(F.split("word", r"\|"), lambda p: p != "").alias("parts"))
+        each = parts.select("qid", "pos", (F.size("parts") > 1).alias("many"), F.explode("parts").alias("part"))
+        each = each.select("qid", "pos", "many", tokeniser(config.tokenizer)(F.col("part")).alias("terms"))
+        each = each.select("qid", "pos", "many", F.explode("terms").alias("term"))
+        return each.select("qid", F.when(F.col("many"), F.concat("pos", F.lit("|"))).otherwise(F.concat("pos", F.lit(" "), "term")).alias("grp"), "term").distinct()
     groups = queries.select("qid", F.posexplode(T.or_groups(F.col("text"))).alias("grp", "terms"))
     return groups.select("qid", "grp", F.explode("terms").alias("term"))
 
@@ -205,6 +219,12 @@ def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame
     compared with the phrases, as strings of words between blanks.
     """
     quoted = queries.select("qid", T.phrases(F.col("text")).alias("phrases"))
+    if index.config.tokenizer:
+        runs = queries.select("qid", F.posexplode(F.regexp_extract_all("text", F.lit('"([^"]*)"'), F.lit(1))).alias("n", "run"))
+        runs = runs.select("qid", tokeniser(index.config.tokenizer)(F.col("run")).alias("p")).where(F.size("p") > 0)
+        none = F.array().cast("array<array<string>>")
+        listed = runs.groupBy("qid").agg(F.collect_list("p").alias("phrases"))
+        quoted = queries.select("qid").join(listed, "qid", "left").select("qid", F.coalesce("phrases", none).alias("phrases"))
     wanted = quoted.select("qid", F.explode(F.array_distinct(F.flatten("phrases"))).alias("term"))
     # stopwords have no postings: a query whose phrases hold nothing else is decided by comparison alone
     known = wanted.join(index.vocab.select("term"), "term")

@@ -25,6 +25,8 @@ class BuildConfig:
     corpus_k: int = 5
     min_cooc: int = 3
     bigram_max_df: float = 0.1
+    #: Path of a subword vocabulary; None takes plain words.
+    tokenizer: str | None = None
 
     def as_dict(self) -> dict:
         return asdict(self)

@@ -86,9 +86,10 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
 
     # one scan of the texts serves the index, the spelling tables and the copies
     text, usable = F.col("text"), corpus.where("doc_id IS NOT NULL")
-    titles = [B.T.tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
+    tokens = B.tokeniser(config.tokenizer)
+    titles = [tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
     read = kept(
-        usable.select("doc_id", B.T.tokens(B.body(corpus, config)).alias("terms"), *titles, B.spelled(text).alias("spelled"), B.digest(text).alias("digest")), "terms"
+        usable.select("doc_id", tokens(B.body(corpus, config)).alias("terms"), *titles, B.spelled(text).alias("spelled"), B.digest(text).alias("digest")), "terms"
     )
     tokenised = read.drop("spelled", "digest")
     n_docs = tokenised.count()
@@ -120,7 +121,11 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
     total = lengths.agg(F.avg("dl"), F.sum("dl")).first()
     stats = {"n_docs": n_docs, "n_terms": vocab.count(), "n_stopwords": stops.count(), "nnz": tf.count(), "words": int(total[1] or 0)}
     index = Index(docs, vocab, postings, B.bigrams(words, n_docs, config), near, spell, B.spell_deletes(spell), n_docs, float(total[0] or 0.0), config, stats)
-    return index.save(path)
+    from termloom.streaming.segments import Folder
+
+    saved = index.save(path)
+    Folder(spark, path).remove("_stage")
+    return saved
 
 
 _BUILT: dict[tuple, Index] = {}

@@ -24,17 +24,17 @@ def hits_of(index: Index, queries: DataFrame, options: SearchOptions) -> DataFra
     Filters apply to whole hit lists, not to a window of candidates, so they lose nothing and reach the
     scan of the documents.
     """
-    terms = S.query_terms(queries)
+    terms = S.query_terms(queries, index.config)
     text = F.col("text")
     if options.tiers or options.features:
         hits = S.score(index, terms)
     elif not queries.where(text.contains("|")).isEmpty():
-        hits = S.score_groups(index, S.or_groups(queries.withColumn("text", S.T.included_text(text))))
+        hits = S.score_groups(index, S.or_groups(queries.withColumn("text", S.T.included_text(text)), index.config))
     elif options.qexp_weight > 0:
         hits = S.score_expanded_query(index, terms, options.qexp_weight, options.alpha)
     else:
         hits = S.score(index, terms, options.alpha)
-    hits = S.exclude(index, hits, S.excluded_terms(queries))
+    hits = S.exclude(index, hits, S.excluded_terms(queries, index.config))
     if options.filters:
         names = [c["field"] for c in options.filters]
         payload = F.col("payload") if "payload" in index.docs.columns else None
@@ -64,7 +64,7 @@ def search(index: Index, queries: DataFrame | str, options: SearchOptions = Sear
     q = as_queries(index, queries)
     if options.correct:
         q = spell.correct_queries(q, index.spell, index.deletes).withColumnRenamed("corrected", "text")
-    terms = S.query_terms(q)
+    terms = S.query_terms(q, index.config)
     if options.prf:
         return S.relevance_feedback(index, terms, options.k, options.prf_k, options.prf_t, options.prf_alpha)
     if options.mmr_lambda is not None:
@@ -75,7 +75,7 @@ def search(index: Index, queries: DataFrame | str, options: SearchOptions = Sear
     if options.tiers:
         return S.rank_tiers(index, hits, options.tiers, options.k, options.band)
     if options.bigram_weight > 0:
-        hits = S.bigram_bonus(index, S.topk(hits, options.window), S.ordered_pairs(q), options.bigram_weight)
+        hits = S.bigram_bonus(index, S.topk(hits, options.window), S.ordered_pairs(q, index.config), options.bigram_weight)
     if options.proximity_weight > 0:
         hits = S.proximity_bonus(index, S.topk(hits, options.window), terms, options.proximity_weight)
     page = S.topk(hits, options.k, options.offset)

@@ -175,8 +175,8 @@ class SegmentedIndex:
         """(qid, rank, doc_id, score, seg) for queries (qid, text); ``-word`` excludes."""
         docs, postings = self._union("docs"), self._union("postings")
         dead = self.tombstones(dict(docs.dtypes)["doc_id"])
-        gone = postings.where("tf > 0").join(S.excluded_terms(queries), "term").select("qid", "seg", "doc_id")
-        terms = S.query_terms(queries)
+        gone = postings.where("tf > 0").join(S.excluded_terms(queries, self.config), "term").select("qid", "seg", "doc_id")
+        terms = S.query_terms(queries, self.config)
         if queries.where(F.col("text").rlike(r"(^|\s)-\S")).isEmpty():
             return merged_search(postings, docs, dead, terms, k, self.config)
         vocab, _, avgdl = global_stats(postings, docs)
