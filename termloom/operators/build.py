@@ -6,6 +6,8 @@ within documents, document lengths and neighbouring words share that one exchang
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +102,27 @@ def forward_index(tf: DataFrame) -> DataFrame:
 
 
 def block_max(postings: DataFrame, vocab: DataFrame, avgdl: float, config: BuildConfig = BuildConfig(), size: int = 128) -> DataFrame:
-    """(term, block, bound): the highest score of each run of ``size`` postings of a term, by doc_id."""
+    """(term, block, bound): the highest score of each run of ``size`` postings of a term, by doc_id.
+
+    Postings are sorted by ranges of (term, doc_id), so a common term is spread over many slices; a
+    posting's place is its rank within its slice, after the term's postings in earlier slices.
+    """
     from termloom.operators.search import saturate
+    from termloom.plans.index import work_folder
 
-    # a common term's postings are ranked in slices of doc_id order, never in one task
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    scored = postings.join(vocab.select("term", "idf"), "term")
+    spark, path = postings.sparkSession, f"{work_folder(postings.sparkSession)}/slices-{uuid.uuid4().hex}"
     bound = F.col("idf") * saturate(F.col("w"), F.col("dl"), avgdl, config)
+    scored = postings.join(vocab.select("term", "idf"), "term").select("term", "doc_id", bound.alias("bound"))
+    # written, as a slice must be the same for the counts and the ranks
+    scored.repartitionByRange("term", "doc_id").withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    earlier = Window.partitionBy("term").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("term", "slice").agg(F.count("*").alias("n"))
+    counts = counts.select("term", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("term", "slice").orderBy("doc_id")) - 1
+    ranked = placed.withColumn("rank", rank).join(counts, ["term", "slice"])
     return (
-        scored.select("term", F.floor((rank - 1) / size).cast("bigint").alias("block"), bound.alias("bound"))
+        ranked.select("term", F.floor((F.col("rank") + F.col("before")) / size).cast("bigint").alias("block"), "bound")
         .groupBy("term", "block").agg(F.max("bound").alias("bound"))
     )
 
@@ -126,8 +140,9 @@ def digest(text: Column) -> Column:
 
 
 def first_of_digest(rows: DataFrame) -> DataFrame:
-    first = F.min("doc_id").over(Window.partitionBy("digest"))
-    return rows.select("doc_id", (F.col("doc_id") == first).alias("canonical"))
+    # partial minima first: a text with very many copies (an empty one) is no hot key
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "digest").select("doc_id", (F.col("doc_id") == F.col("first")).alias("canonical"))
 
 
 def spell_words(corpus: DataFrame, config: BuildConfig = BuildConfig(), dictionary: DataFrame | None = None) -> DataFrame:

@@ -43,12 +43,12 @@ def recall(run: DataFrame, qrels: DataFrame, k: int = 100) -> DataFrame:
 def percentiles(rows: DataFrame, group: str, value: str, shares=(0.5, 0.95, 0.99)) -> DataFrame:
     """Of each group, its size and the value at place floor(n * share), not interpolated.
 
-    Places come from a distributed sort of each group: exact, and no group is collected.
+    Equal values are counted first, then a group's distinct values are gone through in order.
     """
     w = Window.partitionBy(group)
-    at = rows.where(F.col(value).isNotNull()).select(
-        group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count("*").over(w).alias("n")
-    )
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    at = counted.select(group, value, F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
     names = [f"p{round(s * 100)}" for s in shares]
-    pick = [F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value))).alias(x) for s, x in zip(shares, names, strict=True)]
+    place = lambda s: F.least(F.floor(F.col("n") * s), F.col("n") - 1)
+    pick = [F.min(F.when(F.col("upto") > place(s), F.col(value))).alias(x) for s, x in zip(shares, names, strict=True)]
     return at.groupBy(group).agg(F.max("n").alias("n"), *pick)
