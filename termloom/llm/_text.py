@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 MAX_DOCS = 32_000
 
 _M = 0x9E3779B97F4A7C15 | 1

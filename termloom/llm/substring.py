@@ -20,7 +20,7 @@ from termloom.llm._text import LOWER, WORD, binary, buffers, gather, mix, pieces
 
 K, M = 50, 6
 #: Bytes of packed strings that are counted at once; a minimiser's strings are never parted.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _PACKED = "minimiser bigint, doc_id bigint, start int, n int, packed binary"
 _SPAN = "doc_id bigint, start_word int, end_word int, first boolean, copies bigint"
