@@ -6,7 +6,8 @@ its cluster.  A document's score is the sum over its words of log p(word | both
 
 Everything the model knows is gathered from the whole corpus.  All words of all documents are counted;
 the most frequent are symbols of their own and all others share hashed ones, and the counts set the
-output biases, so the network starts as the corpus' unigram model.  Then every document is masked at a
+output biases, so the network starts as the corpus' unigram model.  The whole table of counts is kept and
+joined by word to the words that share a symbol: p(word) is p(symbol) times the word's share of it.  Then every document is masked at a
 share ``MASK`` of its words (the usual share of masked training) and each task trains a replica on its
 documents by stochastic gradient descent; the replicas are averaged, weighted by the words each saw.
 """
@@ -197,9 +198,14 @@ def _count(batches):
     yield rows()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs, by its hash."""
+    return cut(_texts(docs).mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the frequent words, counts of all symbols), from all words of all documents."""
-    counts = cut(_texts(docs).mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - SHARED).toArrow()
     known = top.column("word").to_numpy().view(np.uint64)
 
@@ -264,26 +270,54 @@ def train(docs: DataFrame, known: np.ndarray, counts: np.ndarray, mask: float =
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_prob, per_word) of every row.
+    """(doc_id, n_words, log_prob, per_word, full_log_prob, full_per_word) of every row.
+
+    ``log_prob`` is the sum of the conditional log-probabilities of the words' symbols, ``per_word`` its
+    mean.  ``full_log_prob`` and ``full_per_word`` are those of the words themselves: a word that shares its
+    symbol adds log(n of the word / n of the symbol), from the counts of all words.  The words scored are
+    the words counted, so none is unseen and no mass is put aside for such.
 
-    ``log_prob`` is the sum of the words' conditional log-probabilities, ``per_word`` its mean.  A text
-    without words, an empty or a null one has no words, log_prob 0 and a null per_word.  Rows are
+    A text without words, an empty or a null one has no words, sums 0 and null means.  Rows are
     neither merged nor dropped: repeated rows and null doc_ids keep a row each (and count each time in
     training).  An empty table gives no rows; columns other than doc_id and text are not read.
     """
-    known, counts = vocabulary(docs)
+    per = word_counts(docs)
+    known, counts = vocabulary(docs, per)
     flat = train(docs, known, counts)
+    bulk = np.log(np.maximum(counts, 1))
 
     def run(batches):
+        """A row for each text, and a row (word, key) for each of its words that share a symbol."""
+        from pyspark import TaskContext
+
         p = unpack(flat)
+        at = TaskContext.get().partitionId() << 33
         for piece in pieces(batches):
             _, _, doc, h = words(*buffers(piece.column(1)))
             sym = symbols(h, known)
             lp = log_probs(p, contexts(sym, doc), sym)
-            n = np.bincount(doc, minlength=piece.num_rows)
-            total = np.bincount(doc, weights=lp, minlength=piece.num_rows).astype(np.float64)  # of no words numpy makes integers
+            m = piece.num_rows
+            n = np.bincount(doc, minlength=m)
+            total = np.bincount(doc, weights=lp, minlength=m).astype(np.float64)  # of no words numpy makes integers
+            own = np.flatnonzero(sym >= SYMBOLS - SHARED)
+            less = -np.bincount(doc[own], weights=bulk[sym[own]], minlength=m).astype(np.float64)
+            key = at + np.arange(m, dtype=np.int64)
+            # a text's row travels under a hash of its key, which spreads the rows and means no word
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_prob", "per_word"]
+                [pa.array(mix(key.view(np.uint64), 6).view(np.int64)), pa.array(key), piece.column(0), pa.array(n), pa.array(total), pa.array(less)], names
             )
-
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, per_word double")
+            if len(own):
+                none = [pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(key[doc[own]]), *none], names)
+            at += m
+
+    names = ["word", "key", "doc_id", "n_words", "log_prob", "less"]
+    rows = _texts(docs).mapInArrow(run, "word bigint, key bigint, doc_id bigint, n_words bigint, log_prob double, less double")
+    share = F.when(F.col("n_words").isNull(), F.log(F.coalesce("n", F.lit(1)))).otherwise(F.col("less"))
+    one = [F.max(c).alias(c) for c in ("doc_id", "n_words", "log_prob")]  # of the text's row alone
+    texts = rows.join(per, "word", "left").groupBy("key").agg(*one, F.sum(share).alias("share"))
+    mean = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
+    full = F.col("log_prob") + F.col("share")
+    return texts.select(
+        "doc_id", "n_words", "log_prob", mean(F.col("log_prob")).alias("per_word"), full.alias("full_log_prob"), mean(full).alias("full_per_word")
+    )

@@ -143,3 +143,28 @@ def test_contexts_stay_in_their_text():
     ctx = lm.contexts(np.array([5, 6, 7, 8]), np.array([0, 0, 1, 1]))
     s = lm.SYMBOLS
     assert ctx.T.tolist() == [[s, s, 6, s], [s, 5, s, s], [s, s, 8, s], [s, 7, s, s]]
+
+
+def test_words_that_share_a_symbol_differ(spark):
+    rng = np.random.default_rng(5)
+    said = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, 60) % 5000) for _ in range(200)]
+    rows = [(i // 2, t) for i, t in enumerate(said)] + [(None, said[0]), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = [t or "" for _, t in rows]
+    _, _, doc, h = words(*buffers(pa.array(texts)))
+    known, counts = lm.vocabulary(df)
+    each, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    sym = lm.symbols(each, known)
+    assert len(each) > len(known)
+    share = np.where(sym >= lm.SYMBOLS - lm.SHARED, np.log(n / counts[sym]), 0.0)
+    want = np.bincount(doc, weights=share[at], minlength=len(texts))
+    got = lm.score(df).collect()
+    assert len(got) == len(rows)
+    key = lambda d, n, x: (d is None, d or 0, n, round(x, 3))
+    sizes = np.bincount(doc, minlength=len(texts))
+    have = sorted(key(r["doc_id"], r["n_words"], r["full_log_prob"] - r["log_prob"]) for r in got)
+    assert np.allclose(have, sorted(key(d, int(k), x) for (d, _), k, x in zip(rows, sizes, want, strict=True)), atol=2e-3)
+    assert all(r["full_per_word"] == pytest.approx(r["full_log_prob"] / r["n_words"]) if r["n_words"] else r["full_per_word"] is None for r in got)
+    # the words of a symbol share all of it
+    mass = np.bincount(sym, weights=np.exp(np.where(sym >= lm.SYMBOLS - lm.SHARED, np.log(n / counts[sym]), 0.0)), minlength=lm.SYMBOLS)
+    assert mass[counts > 0] == pytest.approx(1)
