@@ -1,4 +1,4 @@
-"""Language-model scores by masked pseudo-likelihood.
+"""Language-model scores by pseudo-likelihood.
 
 A window network predicts every word from ``REACH`` words on both sides: position-wise embeddings are
 summed, passed through tanh, and a two-level softmax gives the cluster of the word and the word within
@@ -7,9 +7,11 @@ its cluster.  A document's score is the sum over its words of log p(word | both
 Everything the model knows is gathered from the whole corpus.  All words of all documents are counted;
 the most frequent are symbols of their own and all others share hashed ones, and the counts set the
 output biases, so the network starts as the corpus' unigram model.  The whole table of counts is kept and
-joined by word to the words that share a symbol: p(word) is p(symbol) times the word's share of it.  Then every document is masked at a
-share ``MASK`` of its words (the usual share of masked training) and each task trains a replica on its
-documents by stochastic gradient descent; the replicas are averaged, weighted by the words each saw.
+joined by word to the words that share a symbol: p(word) is p(symbol) times the word's share of it.
+
+Training takes ``ROUNDS`` passes, and every word of every document is the target of one of them.  In a pass
+each task trains a replica on its documents by stochastic gradient descent; the replicas are averaged,
+weighted by the words each saw, and the next pass starts from the average.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from termloom.llm._text import buffers, mix, pieces, words
 
 REACH, DIM, CLUSTERS, SIZE = 2, 32, 32, 32
 SYMBOLS, SHARED = CLUSTERS * SIZE, 256
-MASK, RATE, BATCH = 0.15, 0.1, 2048
+ROUNDS, RATE, BATCH = 4, 0.1, 2048
 _SLOTS = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = {
     "emb": (len(_SLOTS), SYMBOLS + 1, DIM), "hid": (DIM,), "wc": (DIM, CLUSTERS), "bc": (CLUSTERS,), "ww": (CLUSTERS, DIM, SIZE), "bw": (CLUSTERS, SIZE),
@@ -66,7 +68,7 @@ def symbols(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def contexts(sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """(slots, words): the symbols around each word; SYMBOLS beyond its document."""
-    out = np.full((len(_SLOTS), len(sym)), SYMBOLS, np.int32)
+    out = np.full((len(_SLOTS), len(sym)), SYMBOLS, np.int16)  # short, so that sorting is by radix
     for i, o in enumerate(_SLOTS):
         a = abs(o)
         if a >= len(sym):
@@ -87,7 +89,7 @@ def _hidden(p, ctx):
 def _softmax(x):
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     return x
 
 
@@ -141,7 +143,7 @@ def step(p: dict, ctx: np.ndarray, y: np.ndarray, rate: float) -> None:
     """
     n = len(y)
     h = _hidden(p, ctx)
-    cluster, inner = y // SIZE, y % SIZE
+    cluster, inner = (y // SIZE).astype(np.int16), y % SIZE
     r = np.arange(n)
     g = _softmax(h @ p["wc"] + p["bc"])
     g[r, cluster] -= 1
@@ -222,51 +224,70 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.nda
     return known, total
 
 
-def train(docs: DataFrame, known: np.ndarray, counts: np.ndarray, mask: float = MASK, rate: float = RATE) -> np.ndarray:
-    """Average of the tasks' replicas; the unigram model where there are no words."""
-    flat = start(counts)
+def turns(h: np.ndarray, doc: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target: by a hash of the word, its place and its document's words."""
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    size = np.diff(np.append(head, len(h)))
+    place = (np.arange(len(h)) - np.repeat(head, size)).astype(np.uint64)
+    draw = mix(h + place * np.uint64(0x9E3779B97F4A7C15) + np.repeat(mix(np.add.reduceat(h, head), 8), size), 4)
+    return ((draw >> np.uint64(40)) * np.uint64(rounds) >> np.uint64(24)).astype(np.int64)
+
+
+def learn(p: dict, batches, known: np.ndarray, turn: int, rounds: int, rate: float = RATE, before: float = 0) -> int:
+    """Steps on the round's words, after ``before`` words of earlier rounds; the number of its words."""
+    seen = 0
+    for piece in pieces(batches):
+        _, _, doc, h = words(*buffers(piece.column(1)))
+        if not len(h):
+            continue
+        sym = symbols(h, known)
+        ctx = contexts(sym, doc)
+        rows = np.flatnonzero(turns(h, doc, rounds) == turn)
+        rows = rows[np.argsort(mix(rows.astype(np.uint64), 2))]  # neighbours apart
+        for i in range(0, len(rows), BATCH):
+            r = rows[i : i + BATCH]
+            step(p, ctx[:, r], sym[r], rate / (1 + ((before + seen) / 400_000)) ** 0.5)
+            seen += len(r)
+    return seen
+
+
+def train(docs: DataFrame, known: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+    """Average of the tasks' replicas after the last round; the unigram model where there are no words."""
+    flat, before = start(counts), 0.0
+    for turn in range(rounds):
+        flat, seen = _round(docs, flat, known, turn, rounds, rate, before)
+        before += seen
+    return flat
+
+
+def _round(docs: DataFrame, flat: np.ndarray, known: np.ndarray, turn: int, rounds: int, rate: float, before: float) -> tuple[np.ndarray, float]:
+    """(average of the replicas that start from flat, words that a replica saw on average)."""
     size = len(flat)
 
     def replica(batches):
         from pyspark import TaskContext
 
         mine = flat.copy()
-        p = unpack(mine)
-        seen = 0
-        for piece in pieces(batches):
-            _, _, doc, h = words(*buffers(piece.column(1)))
-            if not len(h):
-                continue
-            sym = symbols(h, known)
-            ctx = contexts(sym, doc)
-            # masked words: by a hash of the word, its place and its document's length
-            at = np.arange(len(h)) - np.searchsorted(doc, doc, "left")
-            draw = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 4) >> np.uint64(40)
-            rows = np.flatnonzero(draw < np.uint64(int(mask * (1 << 24))))
-            rows = rows[np.argsort(mix(rows.astype(np.uint64), 2))]  # neighbours apart
-            for i in range(0, len(rows), BATCH):
-                r = rows[i : i + BATCH]
-                step(p, ctx[:, r], sym[r], rate / (1 + (seen / 400_000)) ** 0.5)
-                seen += len(r)
+        seen = learn(unpack(mine), batches, known, turn, rounds, rate, before)
         if seen:
             part = TaskContext.get().partitionId()
             for c in range(-(-size // CHUNK)):
                 value = mine[c * CHUNK : (c + 1) * CHUNK].astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([float(seen)]), pa.array([value])], ["chunk", "fan", "seen", "sums"]
-                )
+                row = [pa.array([c], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([1.0]), pa.array([float(seen)]), pa.array([value])]
+                yield pa.RecordBatch.from_arrays(row, ["chunk", "fan", "many", "seen", "sums"])
 
     def total(t: pa.Table) -> pa.Table:
         v = t.column("sums").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        return pa.table({"chunk": t.column("chunk")[:1], "fan": t.column("fan")[:1], "seen": [float(np.sum(t.column("seen").to_numpy()))], "sums": [v.sum(axis=0)]})
+        many, seen = ([float(np.sum(t.column(c).to_numpy()))] for c in ("many", "seen"))
+        return pa.table({"chunk": t.column("chunk")[:1], "fan": t.column("fan")[:1], "many": many, "seen": seen, "sums": [v.sum(axis=0)]})
 
-    schema = "chunk int, fan int, seen double, sums array<double>"
+    schema = "chunk int, fan int, many double, seen double, sums array<double>"
     sums = _texts(docs).mapInArrow(replica, schema).groupBy("chunk", "fan").applyInArrow(total, schema)
     got = sums.groupBy("chunk").applyInArrow(total, schema).orderBy("chunk").toArrow()
     if got.num_rows:
-        seen = got.column("seen").to_numpy()
-        return np.concatenate([np.asarray(v.values.to_numpy()) / s for v, s in zip(got.column("sums"), seen, strict=True)]).astype(np.float32)
-    return flat
+        seen, many = got.column("seen").to_numpy(), got.column("many").to_numpy()
+        return np.concatenate([np.asarray(v.values.to_numpy()) / s for v, s in zip(got.column("sums"), seen, strict=True)]).astype(np.float32), seen[0] / many[0]
+    return flat, 0.0
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -168,3 +168,35 @@ def test_words_that_share_a_symbol_differ(spark):
     # the words of a symbol share all of it
     mass = np.bincount(sym, weights=np.exp(np.where(sym >= lm.SYMBOLS - lm.SHARED, np.log(n / counts[sym]), 0.0)), minlength=lm.SYMBOLS)
     assert mass[counts > 0] == pytest.approx(1)
+
+
+def test_every_word_is_a_target_once(monkeypatch):
+    texts = [f"the same start of text {i} and words w{i % 7} w{i % 11}" for i in range(300)] + ["", None, "one"]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    _, _, doc, h = words(*buffers(batch.column(1)))
+    known = np.unique(h)[:20]
+    seen, rates = [], []
+    monkeypatch.setattr(lm, "step", lambda p, ctx, y, rate: (seen.append(y), rates.append(rate)))
+    sizes = [lm.learn({}, [batch], known, t, lm.ROUNDS, before=400_000 * t) for t in range(lm.ROUNDS)]
+    assert sum(sizes) == len(h) and min(sizes) > 0.8 * len(h) / lm.ROUNDS
+    assert sorted(np.concatenate(seen)) == sorted(lm.symbols(h, known))
+    assert all(a > b for a, b in zip(rates, rates[1:], strict=False))
+    # the same word in the same place: not the same round in every document
+    first = lm.turns(h, doc, lm.ROUNDS)[np.searchsorted(doc, np.arange(300))]
+    assert set(first) == set(range(lm.ROUNDS))
+
+
+def test_rounds_start_from_the_average(spark, larger):
+    docs = larger[0].limit(400).repartition(3).cache()
+    known, counts = lm.vocabulary(docs)
+    _, _, doc, h = words(*buffers(docs.select("text").toArrow().column("text")))
+    sym = lm.symbols(h, known)
+    fit = lambda rounds: float(lm.log_probs(lm.unpack(rounds), lm.contexts(sym, doc), sym).sum())
+    flat, before = lm.start(counts), 0.0
+    fits = [fit(flat)]
+    for t in range(lm.ROUNDS):
+        flat, seen = lm._round(docs, flat, known, t, lm.ROUNDS, lm.RATE, before)
+        before += seen
+        fits.append(fit(flat))
+    assert before * 3 == pytest.approx(len(h))
+    assert fits == sorted(fits)
