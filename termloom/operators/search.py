@@ -141,14 +141,18 @@ def score_expanded_query(index: Index, terms: DataFrame, weight: float, alpha: f
     return total.where("score > 0").select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-def features(index: Index, terms: DataFrame, k: int) -> DataFrame:
-    """Of the k best: combined, exact and semantic score, coverage of the query, document length."""
+def features(index: Index, terms: DataFrame, k: int, offset: int = 0, allowed: DataFrame | None = None) -> DataFrame:
+    """Of the k best: combined, exact and semantic score, coverage of the query, document length.
+
+    ``allowed`` (qid, doc_id): the only hits that may be returned.
+    """
     both = lookup(index, terms).groupBy("qid", "doc_id").agg(
         F.sum(_parts(index, 1.0)).alias("combined"), F.sum(_parts(index, 0.0)).alias("exact"), F.max("dl").alias("doc_len")
     )
     found = terms.join(index.vocab.where("idf > 0").select("term", F.lit(1).alias("known")), "term", "left")
     coverage = found.groupBy("qid").agg((F.count("known") / F.count("*")).alias("coverage"))
-    best = topk(both.where("combined > 0").withColumn("score", F.round("combined", 6)), k)
+    both = both.where("combined > 0").withColumn("score", F.round("combined", 6))
+    best = topk(both if allowed is None else both.join(allowed, ["qid", "doc_id"], "left_semi"), k, offset)
     six = lambda c: F.round(c, 6)
     return best.join(coverage, "qid").select(
         "qid", "rank", "doc_id", "score", six(F.greatest("exact", F.lit(0.0))).alias("exact"),
@@ -246,6 +250,11 @@ def canonical_only(index: Index, hits: DataFrame) -> DataFrame:
 
 def relevance_feedback(index: Index, terms: DataFrame, k: int = 10, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3) -> DataFrame:
     """Rocchio: the prf_t best terms of the prf_k best documents join the query, the best at weight alpha."""
+    return topk(feedback_score(index, terms, prf_k, prf_t, alpha), k)
+
+
+def feedback_score(index: Index, terms: DataFrame, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3) -> DataFrame:
+    """(qid, doc_id, score) of all hits of the queries that feedback has widened."""
     first = topk(score(index, terms), prf_k).select("qid", "doc_id")
     said = index.postings.where("tf > 0").join(first, "doc_id").join(index.vocab.select("term", "idf"), "term").join(terms, ["qid", "term"], "left_anti")
     weight = F.sum(F.col("idf") * F.col("tf") / F.greatest(F.col("dl"), F.lit(1)))
@@ -253,17 +262,19 @@ def relevance_feedback(index: Index, terms: DataFrame, k: int = 10, prf_k: int =
     chosen = weighed.withColumn("rank", _rank(F.desc("w"), "term")).where(F.col("rank") <= prf_t)
     most = F.max("w").over(Window.partitionBy("qid"))
     extra = chosen.select("qid", "term", (alpha * F.col("w") / most).alias("weight"))
-    return topk(score(index, terms.withColumn("weight", F.lit(1.0)).unionByName(extra)), k)
+    return score(index, terms.withColumn("weight", F.lit(1.0)).unionByName(extra))
 
 
-def diversify(index: Index, terms: DataFrame, k: int = 10, lam: float = 0.7) -> DataFrame:
+def diversify(index: Index, terms: DataFrame, k: int = 10, lam: float = 0.7, offset: int = 0, hits: DataFrame | None = None) -> DataFrame:
     """Maximal marginal relevance over max(3k, k + 20) candidates of each query.
 
     A candidate's vector is what each query term gives to its score.  The greedy choice is sequential, so
-    it runs in Python, once for each query and on its candidates alone.
+    it runs in Python, once for each query and on its candidates alone.  ``hits`` are those to choose from;
+    a page at an offset is cut from the choice of offset + k.
     """
     lam = min(max(lam, 0.0), 1.0)
-    near = topk(score(index, terms), max(3 * k, k + 20)).select("qid", "doc_id", "score")
+    k += offset
+    near = topk(score(index, terms) if hits is None else hits, max(3 * k, k + 20)).select("qid", "doc_id", "score")
     parts = lookup(index, terms).withColumn("part", _parts(index, 1.0)).where("part > 0").select("qid", "doc_id", "term", "part")
     rows = parts.join(near, ["qid", "doc_id"])
     kind = dict(index.postings.dtypes)["doc_id"], dict(terms.dtypes)["qid"]
@@ -287,7 +298,8 @@ def diversify(index: Index, terms: DataFrame, k: int = 10, lam: float = 0.7) ->
             like = np.maximum(like, v @ v[best])
         return pd.DataFrame({"qid": pdf["qid"].iloc[0], "rank": np.arange(1, len(picked) + 1, dtype=np.int32), "doc_id": ids[picked], "score": s[picked]})
 
-    return rows.groupBy("qid").applyInPandas(choose, f"qid {kind[1]}, rank int, doc_id {kind[0]}, score double")
+    chosen = rows.groupBy("qid").applyInPandas(choose, f"qid {kind[1]}, rank int, doc_id {kind[0]}, score double")
+    return chosen.where(F.col("rank") > offset) if offset else chosen
 
 
 def pruned(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:

@@ -26,14 +26,21 @@ def hits_of(index: Index, queries: DataFrame, options: SearchOptions) -> DataFra
     """
     terms = S.query_terms(queries, index.config)
     text = F.col("text")
-    if options.tiers or options.features:
+    if options.prf:
+        hits = S.feedback_score(index, terms, options.prf_k, options.prf_t, options.prf_alpha)
+    elif options.tiers or options.features or options.mmr_lambda is not None:
         hits = S.score(index, terms)
-    elif not queries.where(text.contains("|")).isEmpty():
-        hits = S.score_groups(index, S.or_groups(queries.withColumn("text", S.T.included_text(text)), index.config))
-    elif options.qexp_weight > 0:
-        hits = S.score_expanded_query(index, terms, options.qexp_weight, options.alpha)
     else:
-        hits = S.score(index, terms, options.alpha)
+        either = F.coalesce(text.contains("|"), F.lit(False))
+        some = not queries.where(either).isEmpty()
+        plain = S.query_terms(queries.where(~either), index.config) if some else terms
+        if options.qexp_weight > 0:
+            hits = S.score_expanded_query(index, plain, options.qexp_weight, options.alpha)
+        else:
+            hits = S.score(index, plain, options.alpha)
+        if some:  # queries with alternatives only; the others keep alpha and expansion
+            groups = queries.where(either).withColumn("text", S.T.included_text(text))
+            hits = hits.unionByName(S.score_groups(index, S.or_groups(groups, index.config)))
     hits = S.exclude(index, hits, S.excluded_terms(queries, index.config))
     if options.filters:
         names = [c["field"] for c in options.filters]
@@ -65,13 +72,13 @@ def search(index: Index, queries: DataFrame | str, options: SearchOptions = Sear
     if options.correct:
         q = spell.correct_queries(q, index.spell, index.deletes).withColumnRenamed("corrected", "text")
     terms = S.query_terms(q, index.config)
+    hits = hits_of(index, q, options)
     if options.prf:
-        return S.relevance_feedback(index, terms, options.k, options.prf_k, options.prf_t, options.prf_alpha)
+        return S.topk(hits, options.k, options.offset)
     if options.mmr_lambda is not None:
-        return S.diversify(index, terms, options.k, options.mmr_lambda)
+        return S.diversify(index, terms, options.k, options.mmr_lambda, options.offset, hits)
     if options.features:
-        return S.features(index, terms, options.k)
-    hits = hits_of(index, q, options)
+        return S.features(index, terms, options.k, options.offset, hits.select("qid", "doc_id"))
     if options.tiers:
         return S.rank_tiers(index, hits, options.tiers, options.k, options.band)
     if options.bigram_weight > 0:

@@ -143,3 +143,22 @@ def test_golden_animals(spark, tmp_path):
     t = S.query_terms(queries(spark, "cat"))
     assert [r["doc_id"] for r in S.blended(i, t, 10, 0.0).collect()] == ["cat"]
     assert [r["doc_id"] for r in S.blended(i, t, 10, 0.5).orderBy("rank").collect()] == ["cat", "kitten"]
+
+
+@pytest.mark.parametrize("mode", [{"prf": True, "prf_k": 2}, {"mmr_lambda": 0.5}, {"features": True}])
+def test_modes_obey_the_other_options(index, mode):
+    ids = lambda text, **o: [r["doc_id"] for r in search(index, text, SearchOptions(**mode, **o)).orderBy("rank").collect()]
+    assert {"d1", "d5"} <= set(ids("cat mat")) and not {"d1", "d4", "d5", "d9"} & set(ids("cat -mat"))
+    assert set(ids('"cat sat" mat')) == {"d1", "d5"} and len(ids('"cat sat" mat', dedup=True)) == 1
+    assert {"d9"} <= set(ids("cat", filters=({"field": "lang", "eq": "de"},))) <= {"d8", "d9", "d10"}
+    every = ids("cat mat")
+    assert len(every) > 2 and ids("cat mat", k=2, offset=1)[:1] == every[1:2]
+
+
+@pytest.mark.parametrize("options", [{"alpha": 0.0}, {"alpha": 0.3}, {"alpha": 0.5, "qexp_weight": 0.5}])
+def test_alternatives_leave_other_queries_alone(spark, index, options):
+    o = SearchOptions(payload=False, bigram_weight=0.0, **options)
+    key = lambda df: sorted((r["doc_id"], r["score"]) for r in df.collect())
+    both = search(index, queries(spark, "kitten mat", "bark|animal"), o)
+    assert key(both.where("qid = 0")) == key(search(index, "kitten mat", o))
+    assert key(both.where("qid = 1")) == key(search(index, "bark|animal", o))
