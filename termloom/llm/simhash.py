@@ -10,7 +10,13 @@ verified on the complete fingerprint.  Pairs up to ``SEGMENTS * (radius + 1) - 1
 always found; beyond that, at ``max_distance``, a pair is missed with a probability below 0.1.
 Tables are split by the segment's top bits, the number of which follows the number of fingerprints,
 so a task's share stays bounded; the part of the ball that leaves a split is sent there, the rest is
-enumerated in place against a bitmap.
+enumerated in place against a bitmap.  A split that is overfull all the same, as very many near copies
+share a segment, is cut into blocks, and every block meets every other in a task of its own.  Within a
+task, fingerprints under one value are linked to a few of their number first, and pairs that are in one
+component already are not enumerated, so a family of copies costs about its size and not its square.
+
+A row's identity is its doc_id and its text (by a 64-bit hash): rows that share a doc_id but not their
+text are apart.
 """
 
 from __future__ import annotations
@@ -23,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm._state import cut
+from termloom.llm._state import cut, one_of_equal
 from termloom.llm._text import binary, buffers, components, mix, pieces, span_hash, words
 
 SEGMENTS, SEGMENT_BITS, RADIUS, MAX_DISTANCE = 10, 24, 2, 36
 BITS = SEGMENTS * SEGMENT_BITS
-#: Fingerprints in one split of a segment's table.
-SPLIT_ROWS = 1 << 19
+#: Fingerprints in one split of a segment's table; a split of more than HOT times that is cut into blocks.
+SPLIT_ROWS, HOT = 1 << 19, 4
 PAIRS = 1 << 21
+#: Fingerprints under one value from which pivots come first, and pivots for each.
+CROWD, PIVOTS = 32, 4
 
 # byte value -> eight one-byte counters, one for each bit
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -70,13 +78,14 @@ def _fingerprint_batches(batches):
     for piece in pieces(batches):
         fp = fingerprints(*buffers(piece.column(1)))
         o = np.arange(len(fp) + 1) * (BITS // 8)
-        yield pa.RecordBatch.from_arrays([piece.column(0), binary(fp.ravel(), o)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), binary(fp.ravel(), o)], ["doc_id", "h", "fp"])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of the documents that have a doc_id and a text."""
+    """(doc_id, h, fp) of the documents that have a doc_id and a text; h is the text's hash."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_fingerprint_batches, "doc_id bigint, fp binary")
+    d = d.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    return d.mapInArrow(_fingerprint_batches, "doc_id bigint, h bigint, fp binary")
 
 
 def _ball(bits: int, radius: int) -> list[tuple[int, int]]:
@@ -84,52 +93,84 @@ def _ball(bits: int, radius: int) -> list[tuple[int, int]]:
     return [(sum(1 << b for b in c), r) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)]
 
 
+def _near(fp: np.ndarray, x: np.ndarray, y: np.ndarray, max_distance: int) -> np.ndarray:
+    return np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= max_distance
+
+
 def _links(low_bits: int, radius: int, max_distance: int):
     masks = _ball(low_bits, radius)
 
     def run(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
         flips = table.column("flips").to_numpy()
+        probing = table.column("probe").to_numpy(zero_copy_only=False)
         _, raw = buffers(table.column("fp"))
         key = table.column("low").to_numpy().astype(np.int64)
         fp = np.zeros((len(rep), 4), np.uint64)
         fp.view(np.uint8)[:, : BITS // 8] = raw.reshape(len(rep), -1)
         nodes, node = np.unique(rep, return_inverse=True)
-        label = np.arange(len(nodes))
-        home = np.flatnonzero(flips == 0)
-        home = home[np.argsort(key[home], kind="stable")]
-        hkey = key[home]
+        n = len(nodes)
+        label = np.arange(n)
+        home = np.flatnonzero((flips == 0) & table.column("home").to_numpy(zero_copy_only=False))
+        _pivots(home, key, fp, node, label, max_distance)
         there = np.zeros(1 << low_bits, bool)
-        there[hkey] = True
-        sets = {f: np.flatnonzero(flips == f) for f in np.unique(flips).tolist()}
+        there[key[home]] = True
+        sets = {f: np.flatnonzero((flips == f) & probing) for f in np.unique(flips).tolist()}
+        place = None
         for mask, flipped in masks:
+            if mask == 0 or flipped == 1 and mask == 1:  # labels as they are now tell what needs no look
+                known = label[node]
+                place = key[home] * n + known[home]
+                order = np.argsort(place, kind="stable")
+                place, at_home = place[order], home[order]
             for f, rows in sets.items():
                 if f + flipped > radius:
                     continue
                 probe = key[rows] ^ mask
                 hit = there[probe]
-                q, v = rows[hit], probe[hit]
-                lo = np.searchsorted(hkey, v, "left")
-                size = np.searchsorted(hkey, v, "right") - lo
-                at, ends = 0, np.cumsum(size)
+                q, v = rows[hit], probe[hit] * n
+                # under the value, what comes before the probe's own component and what after it
+                own = v + known[q]
+                ends = [(v, own), (own + 1, v + n)]
+                lo = np.concatenate([np.searchsorted(place, a, "left") for a, _ in ends])
+                size = np.concatenate([np.searchsorted(place, b, "left") for _, b in ends]) - lo
+                q = np.concatenate([q, q])
+                some = np.flatnonzero(size)
+                q, lo, size = q[some], lo[some], size[some]
+                at, total = 0, np.cumsum(size)
                 while at < len(q):  # at most about PAIRS pairs at a time
-                    done = ends[at - 1] if at else 0
-                    end = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                    done = total[at - 1] if at else 0
+                    end = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
                     s = size[at:end]
                     x = np.repeat(q[at:end], s)
-                    y = home[np.repeat(lo[at:end] - (np.cumsum(s) - s), s) + np.arange(s.sum())]
+                    y = at_home[np.repeat(lo[at:end] - (np.cumsum(s) - s), s) + np.arange(s.sum())]
                     at = end
                     new = label[node[x]] != label[node[y]]
                     x, y = x[new], y[new]
-                    near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= max_distance
+                    near = _near(fp, x, y, max_distance)
                     if near.any():
-                        components(len(nodes), node[x[near]], node[y[near]], label)
-        out = np.flatnonzero(label != np.arange(len(nodes)))
+                        components(n, node[x[near]], node[y[near]], label)
+        out = np.flatnonzero(label != np.arange(n))
         return pa.table({"a": nodes[out], "b": nodes[label[out]]})
 
     return run
 
 
+def _pivots(home: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_distance: int) -> None:
+    """Links the rows of each crowded value to PIVOTS of them, each the first that no earlier one has caught."""
+    home = home[np.argsort(key[home], kind="stable")]
+    first, size = np.unique(key[home], return_index=True, return_counts=True)[1:]
+    rows = home[np.repeat(size >= CROWD, size)]
+    for _ in range(PIVOTS):
+        if not len(rows):
+            return
+        head = np.flatnonzero(np.append(True, key[rows[1:]] != key[rows[:-1]]))
+        pivot = np.repeat(rows[head], np.diff(np.append(head, len(rows))))
+        near = _near(fp, rows, pivot, max_distance)
+        components(len(label), node[rows[near]], node[pivot[near]], label)
+        rows = rows[~near]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b): links that span the groups of the distinct fingerprints (rep, fp)."""
     n = fps.count()
@@ -143,15 +184,26 @@ def links(fps: DataFrame, radius: int = RADIUS, max_distance: int = MAX_DISTANCE
     ]
     spread = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("value")) for s, v in enumerate(value)]))
     balls = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(f).alias("flips")) for m, f in _ball(top, radius)]))
-    rows = (
-        fps.select("rep", "fp", spread.alias("s"))
-        .select("rep", "fp", "s.seg", "s.value", balls.alias("p"))
-        .select(
-            "rep", "fp", "seg", F.shiftright("value", low).bitwiseXOR(F.col("p.mask")).alias("split"),
-            F.col("value").bitwiseAND((1 << low) - 1).alias("low"), F.col("p.flips").alias("flips"),
-        )
+    valued = fps.select("rep", "fp", spread.alias("s")).select("rep", "fp", "s.seg", "s.value")
+    rows = valued.select("rep", "fp", "seg", "value", balls.alias("p")).select(
+        "rep", "fp", "seg", F.shiftright("value", low).bitwiseXOR(F.col("p.mask")).alias("split"),
+        F.col("value").bitwiseAND((1 << low) - 1).alias("low"), F.col("p.flips").alias("flips"),
     )
-    return rows.groupBy("seg", "split").applyInArrow(_links(low, radius, max_distance), "a bigint, b bigint")
+    # (home block, probe block): one of each but for the overfull splits, of which there are at most SEGMENTS * n / (HOT * SPLIT_ROWS)
+    counts = valued.groupBy("seg", F.shiftright("value", low).alias("split")).count().where(F.col("count") > HOT * SPLIT_ROWS).collect()
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("home"), F.lit(True).alias("probe")))
+    tasks = one
+    if counts:
+        many = F.create_map(*[F.lit(x) for r in counts for x in (r["seg"] << SEGMENT_BITS | r["split"], -(-r["count"] // SPLIT_ROWS))])
+        blocks = F.try_element_at(many, F.col("seg") * (1 << SEGMENT_BITS) + F.col("split"))
+        part = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (i == part).alias("home"), (j == part).alias("probe"))
+        every = F.sequence(F.lit(0), (blocks - 1).cast("int"))
+        others = F.filter(every, lambda i: i != part)
+        homes = F.when(F.col("flips") == 0, F.transform(every, lambda j: pair(part, j))).otherwise(F.array(pair(part, part)))
+        tasks = F.when(blocks.isNull(), one).otherwise(F.concat(homes, F.transform(others, lambda i: pair(i, part))))
+    rows = rows.withColumn("t", F.explode(tasks)).select("rep", "fp", "seg", "split", "low", "flips", "t.i", "t.j", "t.home", "t.probe")
+    return rows.groupBy("seg", "split", "i", "j").applyInArrow(_links(low, radius, max_distance), "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -181,44 +233,43 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _members(docs: DataFrame, radius: int = RADIUS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, h, rep, first) of each different row: its component, and the component's smallest (doc_id, h)."""
+    fps = cut(fingerprint_table(docs).distinct())
+    least = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    reps = cut(least.withColumn("rep", F.monotonically_increasing_id()))
+    label = connected(links(reps.select("rep", "fp"), radius, max_distance)).withColumnRenamed("node", "rep")
+    named = cut(reps.join(label, "rep", "left").select("fp", "least", F.coalesce("label", "rep").alias("rep")))
+    # by component first, then by fingerprint: neither shuffles a row for each copy
+    lead = named.groupBy("rep").agg(F.min("least").alias("first"))
+    return fps.join(named.join(lead, "rep").select("fp", "rep", "first"), "fp").select("doc_id", "h", "rep", "first")
+
+
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a near copy.
 
-    ``group_id`` is the smallest doc_id of the group.  Rows with a null doc_id or text are in no
-    group.  Texts without words (empty ones too) group when their bytes are equal.  Rows that share a
-    doc_id are one document; their texts' groups are joined.  Equal texts always group.  An empty
-    table gives no rows; columns other than doc_id and text are not read.
+    ``group_id`` is the group's smallest doc_id, ``group_size`` the number of its doc_ids.  Rows with a
+    null doc_id or text are in no group.  Texts without words (empty ones too) group when their bytes are
+    equal.  Equal texts always group.  Rows that repeat a doc_id and a text are one; rows that share a
+    doc_id alone are apart, so a doc_id has a row for each of its texts' groups, and a group of one
+    doc_id is none.  Texts of any length are read whole.  An empty table gives no rows; columns other
+    than doc_id and text are not read.
     """
-    fps = cut(fingerprint_table(docs))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    label = connected(links(reps, radius, max_distance).union(_same_document(fps, reps)))
-    member = fps.join(reps, "fp").select("doc_id", "rep").distinct()
-    group = F.coalesce("label", "rep")
-    named = member.join(label, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(group).alias("group_id"))
-    sizes = named.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    return named.join(sizes, "group_id").select("doc_id", "group_id", "group_size")
-
-
-def _same_document(fps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links between the fingerprints of rows that share a doc_id."""
-    many = fps.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
-    return fps.join(many, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    each = _members(docs, radius, max_distance).groupBy("rep", "doc_id").agg(F.min("first.doc_id").alias("group_id"))
+    each = cut(each)
+    sizes = each.groupBy("rep").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    return each.join(sizes, "rep").select("doc_id", "group_id", "group_size")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, with one row for each group: the one with the smallest doc_id.
 
-    Rows with a null doc_id or a null text have no group and stay.  Of rows that repeat a doc_id one
-    stays, the one whose text sorts first.  All columns are kept.
+    Of rows in a group that share this doc_id, the text with the smallest hash stays; of rows that repeat
+    a doc_id and a text, one.  Rows with a null doc_id or a null text have no group and stay, whatever
+    other rows hold, and so do rows whose text is near no other.  All columns are kept.  An empty table
+    gives no rows.
     """
-    from pyspark.sql import Window
-
-    groups = near_duplicate_groups(docs)
-    away = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__tl_id"))
-    kept = docs.join(away, docs["doc_id"] == F.col("__tl_id"), "left_anti")
-    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(docs["doc_id"])
-    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy("text")
-        nth = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), 1).otherwise(F.row_number().over(order))
-        kept = kept.withColumn("__tl_nth", nth).where("__tl_nth = 1").drop("__tl_nth")
-    return kept
+    away = _members(docs).where("doc_id <> first.doc_id OR h <> first.h").select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"))
+    h = F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
+    kept = docs.join(away, (docs["doc_id"] == F.col("__tl_id")) & (h == F.col("__tl_h")), "left_anti")
+    return one_of_equal(kept, docs)
