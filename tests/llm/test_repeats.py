@@ -18,20 +18,56 @@ def covered(spans, k):
     return out
 
 
-@pytest.mark.parametrize("block", [4 << 20, 64])
-def test_against_all_windows(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(4 << 20, 1 << 17), (64, 1 << 17), (64, 2)])
+def test_against_all_windows(spark, monkeypatch, block, hot):
     monkeypatch.setattr(substring, "BLOCK", block)
+    monkeypatch.setattr(substring, "HOT", hot)
     rng = random.Random(7)
     docs = [(i, "".join(rng.choice(["a", "B", "é", "c1"]) + rng.choice([" ", ", ", "\n", " — "]) for _ in range(rng.randrange(30)))) for i in range(60)]
-    docs += [(100, None), (None, docs[0][1]), (101, ""), (102, docs[3][1]), (102, docs[3][1])]
+    docs += [(100, None), (None, docs[0][1]), (101, "")]
     df = spark.createDataFrame(docs, SCHEMA)
     for k, m in ((5, 2), (3, 3), (8, 2)):
-        want = {at: first for at, (first, _) in brute.repeats([d for d in docs if d[0] != 102], k).items()}
-        plain = spark.createDataFrame([d for d in docs if d[0] != 102], SCHEMA)
-        assert covered(substring.repeated_spans(plain, k, m), k) == want
-        got = sorted(((r["doc_id"], r["text"]) for r in substring.drop_repeats(plain, k, m).collect()), key=repr)
-        assert got == sorted(brute.without_repeats([d for d in docs if d[0] != 102], k), key=repr)
-        assert substring.drop_repeats(df, k, m).count() > 0
+        want = brute.repeats(docs, k)
+        got = substring.repeated_spans(df, k, m)
+        assert covered(got, k) == {at: first for at, (first, _) in want.items()}
+        for r in got.collect():
+            assert r["copies"] == max(want[r["doc_id"], p][1] for p in range(r["start_word"], r["end_word"] - k + 1))
+        left = sorted(((r["doc_id"], r["text"]) for r in substring.drop_repeats(df, k, m).collect()), key=repr)
+        assert left == sorted(brute.without_repeats(docs, k), key=repr)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Spans belong to a row: a text that nothing repeats stays, and of equal rows one."""
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    drop = lambda rows: sorted((tuple(r) for r in substring.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    p, q, r = text("p"), text("q"), text("r")
+    assert drop([(1, p), (2, p), (2, q)]) == [(1, p), (2, q)]
+    assert drop([(1, p), (1, p)]) == [(1, p)]
+    assert drop([(1, p), (1, p), (1, None), (2, p), (2, p), (3, r)]) == sorted([(1, p), (1, None), (3, r)], key=repr)
+    assert drop([(1, "few words"), (1, "few words"), (1, q), (1, r)]) == sorted([(1, "few words"), (1, "few words"), (1, q), (1, r)], key=repr)
+    both = drop([(1, q + " " + p), (1, r + " " + p)])  # one of the two keeps the passage
+    assert sorted(len(t.split()) for _, t in both) == [60, 120]
+    spans = substring.repeated_spans(spark.createDataFrame([(1, p), (1, p), (2, q)], SCHEMA)).collect()
+    assert [tuple(s) for s in spans] == [(1, 0, 60, True, 2)]
+
+
+def test_hot_passage_in_bounded_memory():
+    """200,000 equal passages under one minimiser: windows are hashed in parts, and nothing is copied for each batch."""
+    import resource
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 200_000
+    line = " ".join(f"w{i:02}" for i in range(60)).encode()
+    batch = lambda at, size: pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, 7)), pa.array(np.arange(at, at + size)), pa.array(np.zeros(size, np.int64)), pa.array(np.zeros(size, np.int32)), pa.array([line] * size, pa.binary())],
+        ["minimiser", "doc_id", "h", "start", "packed"],
+    )
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    spans = pa.Table.from_batches(list(substring._count(50)(batch(at, 10_000) for at in range(0, n, 10_000))))
+    assert spans.num_rows == n and spans.column("first").to_numpy().sum() == 1 and set(spans.column("copies").to_numpy()) == {n}
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1200
 
 
 def test_production_windows(spark):
