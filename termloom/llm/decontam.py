@@ -2,30 +2,36 @@
 
 Texts are compared by their bytes in lower case (ASCII), every white-space byte being a blank.  An
 item of length n leaks into a document when some substring of the document is within
-``e = min(floor(rate * n), floor((n - q) / q))`` edits of it.  By the q-gram lemma such a substring
-shares at least ``n - q + 1 - q * e`` q-grams with the item, and they lie on neighbouring diagonals.
+``e = floor(rate * n)`` edits of it.  By the q-gram lemma such a substring shares at least
+``n - q + 1 - q * e`` q-grams with the item, and they lie on neighbouring diagonals.  Grams have Q bytes,
+or fewer where an item is too short for that bound to say anything: ``q = min(Q, floor(n / (e + 1)))``.
 So: look up every document position's q-gram among the items', count the hits of each item in
 diagonal bands of width 2(e+1) that overlap by half, keep the bands that reach the bound, and verify
 each by a banded alignment.  The filter loses nothing; its survivors are decided exactly.
 
-The benchmark travels to every task in slices of about ``SLICE`` bytes, and the documents are read once
-for each ``PASS`` slices, so neither a closure nor a worker's index grows with the benchmark.
+The benchmark is read from its table as it is needed and travels in slices of about ``SLICE`` bytes; the
+documents are read once for each ``PASS`` slices, and what a pass finds is written before the next.  So
+neither the driver nor a closure, a plan or a worker's index grows with the benchmark, and how many
+passes it takes changes nothing in the rows.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm._state import cut
 from termloom.llm._text import buffers, mix, pieces
 
 Q, RATE = 10, 0.08
 #: Bytes of benchmark text in a slice, whose index takes about forty times that; slices in one pass.
 SLICE, PASS = 1 << 20, 4
+#: Cells of text under the bands that are aligned together.
+CELLS = 1 << 21
 
 _FLAT = np.arange(256, dtype=np.uint8)
 _FLAT[65:91] += 32
@@ -33,24 +39,37 @@ _FLAT[[9, 10, 11, 12, 13]] = 32
 
 
 def codes(data: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit code of the q bytes from each position (8 <= q <= 16); they may reach past the end."""
+    """A 64-bit code of the q bytes from each position (q <= 16); they may reach past the end."""
     n = len(data)
     raw = np.concatenate([data, np.zeros(16, np.uint8)]).tobytes()
     a = np.ndarray((n,), "<u8", raw, strides=(1,))
+    if q < 8:
+        return ((a & np.uint64((1 << 8 * q) - 1)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     b = np.ndarray((n,), "<u8", raw, offset=8, strides=(1,)) & np.uint64((1 << 8 * (q - 8)) - 1)
     return a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def budget(n: np.ndarray, q: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(edits allowed, length of grams) of items of n bytes."""
+    e = (rate * n).astype(np.int64)
+    return e, np.minimum(q, n // (e + 1))
+
+
+def indices(ids: np.ndarray, texts: list[bytes], q: int = Q, rate: float = RATE) -> list[Index]:
+    """An index for each length of grams that the items need; an empty item is in none."""
+    n = np.array([len(t) for t in texts], np.int64)
+    own = budget(n, q, rate)[1]
+    return [Index(ids[own == g], [texts[i] for i in np.flatnonzero(own == g)], int(g), rate) for g in np.unique(own[own > 0])]
+
+
 class Index:
     """The items' q-grams: a bitmap over code prefixes, sorted codes, and (item, position) of each."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], q: int = Q, rate: float = RATE):
-        flat = [_FLAT[np.frombuffer(t, np.uint8)] for t in texts]
-        long = [i for i, t in enumerate(flat) if len(t) >= q]
-        self.q, self.ids, self.text = q, ids[long], [flat[i] for i in long]
+        self.q, self.ids, self.text = q, ids, [_FLAT[np.frombuffer(t, np.uint8)] for t in texts]
         n = np.array([len(t) for t in self.text], np.int64)
         self.n = n
-        self.e = np.minimum((rate * n).astype(np.int64), (n - q) // q)
+        self.e = (rate * n).astype(np.int64)
         self.need = n - q + 1 - q * self.e
         data = np.concatenate([*self.text, np.zeros(0, np.uint8)])
         at = np.cumsum(n) - n
@@ -119,9 +138,14 @@ class Index:
         """
         out = np.empty(len(item), np.int64)
         order = np.argsort(self.n[item], kind="stable")  # like lengths together
-        for at in range(0, len(order), 512):
-            r = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            end = min(at + 512, len(order))
+            while end > at + 1 and (end - at) * int(self.n[item[order[end - 1]]] + 4 * self.e[item[order[end - 1]]] + 3) > CELLS:
+                end = (at + end) // 2
+            r = order[at:end]
             out[r] = self._align(item[r], doc[r], diagonal[r], int(self.e[item[r]].max()), offsets, data)
+            at = end
         return out
 
     def _align(self, item, doc, diagonal, e, offsets, data):
@@ -134,7 +158,7 @@ class Index:
             want[item == i, : self.n[i]] = self.text[i]
         k = np.arange(width, dtype=np.int32)
         start, stop = offsets[doc][:, None], offsets[doc + 1][:, None]
-        big = 1 << 14
+        big = 1 << 28  # beyond any budget
         # the text under every cell that a row's band may hold; -2 outside the document
         pos = low[:, None] + np.arange(longest + width + 1)
         inside = (pos >= start) & (pos < stop)
@@ -190,74 +214,96 @@ class Index:
         return doc[head], item[head], edits[head]
 
 
-def _slices(benchmark: DataFrame, size: int = SLICE):
-    """The benchmark as lists of (ids, texts) of about ``size`` bytes, each item once."""
+def _slices(benchmark: DataFrame):
+    """The benchmark as lists of (ids, texts) of about SLICE bytes, each item once; a part of the table at a time."""
     b = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    table = b.where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-    o, data = buffers(table.column("text"))
-    ids = table.column("item_id").to_numpy()
-    at = 0
-    while at < len(ids):
-        end = max(at + 1, int(np.searchsorted(o, o[at] + size, "right")) - 1)
-        yield ids[at:end], [data[o[i] : o[i + 1]].tobytes() for i in range(at, end)]
-        at = end
-
-
-def _passes(benchmark: DataFrame) -> list[list]:
-    """The slices by passes over the documents; one pass even without any item."""
-    slices = list(_slices(benchmark))
-    return [slices[i : i + PASS] for i in range(0, len(slices), PASS)] or [[]]
+    rows = b.where("item_id IS NOT NULL AND text <> ''").distinct().orderBy("item_id", "text").toLocalIterator()
+    ids, texts, size = [], [], 0
+    for row in rows:
+        text = row["text"].encode()
+        if ids and size + len(text) > SLICE:
+            yield np.array(ids, np.int64), texts
+            ids, texts, size = [], [], 0
+        ids.append(row["item_id"])
+        texts.append(text)
+        size += len(text)
+    if ids:
+        yield np.array(ids, np.int64), texts
+
+
+def _passes(benchmark: DataFrame):
+    """(slices, whether more follow) for each pass over the documents; none without any item."""
+    slices = _slices(benchmark)
+    part = list(itertools.islice(slices, PASS))
+    while part:
+        after = list(itertools.islice(slices, PASS))
+        yield part, bool(after)
+        part = after
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, edits) of each document and benchmark item that leaks into it.
 
     ``edits`` is the smallest number of edits over the document's matching regions.  Null and empty
-    texts on either side match nothing, nor does an item of under q bytes.  Repeated rows of documents
-    give a row each (one for all where the benchmark takes several passes); repeated items count once (item_ids that name several texts give the smallest
-    number of edits).  Empty tables give no rows.  Columns other than the ids and texts are not read.
+    texts on either side match nothing; an item of any other length matches within its budget, which is 0
+    for the shortest.  Very long texts and items are compared whole.  Rows of documents that repeat a
+    doc_id and a text give one row for an item, rows that share a doc_id (or have none) but not their text
+    one each, however large the benchmark.  Repeated items count once; item_ids that name several texts
+    give the smallest number of edits.  Empty tables give no rows.  Columns other than the ids and texts
+    are not read.
     """
-    def search(slices):
-        return lambda batches: _search(batches, [Index(ids, texts, q, rate) for ids, texts in slices])
-
-    def _search(batches, indices):
-        for piece in pieces(batches):
-            o, data = buffers(piece.column(1))
-            ids = piece.column(0)
-            for index in indices:
-                doc, item, edits = index.matches(o, data)
-                if len(doc):
-                    key = index.ids[item]
-                    order = np.lexsort((edits, key, doc))
-                    doc, key, edits = doc[order], key[order], edits[order]
-                    head = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(doc[head])), pa.array(key[head]), pa.array(edits[head].astype(np.int32))], ["doc_id", "item_id", "edits"]
-                    )
-
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, edits int"
-    found = [d.mapInArrow(search(part), schema) for part in _passes(benchmark)]
-    out = functools.reduce(DataFrame.unionAll, found)
-    # an item_id's texts may lie in several slices
-    return out if len(found) == 1 else out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    d = d.where("text <> ''").withColumn("h", F.xxhash64("text"))
+    schema = "doc_id bigint, h bigint, item_id bigint, edits int"
+
+    def search(slices):
+        def run(batches):
+            every = [x for ids, texts in slices for x in indices(ids, texts, q, rate)]
+            for piece in pieces(batches):
+                o, data = buffers(piece.column(1))
+                for index in every:
+                    doc, item, edits = index.matches(o, data)
+                    if len(doc):
+                        at = pa.array(doc)
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(0).take(at), piece.column(2).take(at), pa.array(index.ids[item]), pa.array(edits.astype(np.int32))],
+                            ["doc_id", "h", "item_id", "edits"],
+                        )
+
+        return run
+
+    found = d.sparkSession.createDataFrame([], schema)
+    for part, more in _passes(benchmark):
+        found = found.unionByName(d.mapInArrow(search(part), schema))
+        found = found.groupBy("doc_id", "h", "item_id").agg(F.min("edits").alias("edits"))
+        if more:
+            found = cut(found)
+    return found.select("doc_id", "item_id", "edits")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """The documents into which no item leaks, with all their columns; null and empty texts stay."""
+    """The documents into which no item leaks, with all their columns.
+
+    Each row is decided by its own text, whatever its doc_id; rows that repeat go or stay together.  Null
+    and empty texts stay.  Items of every length count, and all of a text is compared.  An empty benchmark
+    leaves the documents as they are, an empty table gives no rows.
+    """
     text = docs.columns.index("text")
 
     def keep(slices):
-        return lambda batches: _keep(batches, [Index(ids, texts, q, rate) for ids, texts in slices])
-
-    def _keep(batches, indices):
-        for piece in pieces(batches):
-            clean = np.ones(piece.num_rows, bool)
-            o, data = buffers(piece.column(text))
-            for index in indices:
-                clean[index.matches(o, data)[0]] = False
-            yield piece.filter(pa.array(clean))
-
-    for part in _passes(benchmark):
+        def run(batches):
+            every = [x for ids, texts in slices for x in indices(ids, texts, q, rate)]
+            for piece in pieces(batches):
+                clean = np.ones(piece.num_rows, bool)
+                o, data = buffers(piece.column(text))
+                for index in every:
+                    clean[index.matches(o, data)[0]] = False
+                yield piece.filter(pa.array(clean))
+
+        return run
+
+    for part, more in _passes(benchmark):
         docs = docs.mapInArrow(keep(part), docs.schema)
+        if more:  # or every pass's indices would be in memory together
+            docs = cut(docs)
     return docs

@@ -101,16 +101,16 @@ def fewest_edits(item, text):
     return int(d.min())
 
 
-def leaks(docs, items, q, rate):
+def leaks(docs, items, rate):
     out = {}
     for i, t in docs:
         for n, it in items:
             if i is None or n is None or t is None or it is None:
                 continue
             a, b = flat(it), flat(t)
-            if len(a) < q:
+            if not len(a):
                 continue
             e = fewest_edits(a, b)
-            if e <= min(int(rate * len(a)), (len(a) - q) // q):
+            if e <= int(rate * len(a)):
                 out[i, n] = min(e, out.get((i, n), e))
     return out

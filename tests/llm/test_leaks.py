@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from termloom.llm import decontam
 from tests.llm import brute
 
@@ -21,7 +23,7 @@ def spoil(rng, text, edits):
 def test_against_full_alignment(spark):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choices("abcde ÄB", k=n))
-    items = [(i, text(rng.choice([8, 30, 60, 120]))) for i in range(12)] + [(50, None), (None, "abc" * 9), (51, ""), (3, text(40))]
+    items = [(i, text([5, 8, 13, 14, 19, 26, 28, 40, 45, 60, 60, 120][i])) for i in range(12)] + [(50, None), (None, "abc" * 9), (51, ""), (3, text(40))]
     docs = []
     for i in range(60):
         n, it = items[i % 12]
@@ -32,22 +34,42 @@ def test_against_full_alignment(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     for rate in (0.08, 0.03, 0.0):
         got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(d, b, 10, rate).collect()}
-        assert got == brute.leaks(docs, items, 10, rate)
+        assert got == brute.leaks(docs, items, rate)
         left = {r["doc_id"] for r in decontam.drop_leaks(d, b, 10, rate).collect()}
         assert left == {i for i, _ in docs} - {i for i, _ in got}
     assert got
 
 
-def test_slices_and_repeats(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "SLICE", 64)
-    monkeypatch.setattr(decontam, "PASS", 2)
+@pytest.mark.parametrize(("size", "many"), [(1 << 20, 4), (64, 2)])
+def test_passes_change_nothing(spark, monkeypatch, size, many):
+    """Repeated rows, shared and null doc_ids, by one pass over the documents and by several."""
+    monkeypatch.setattr(decontam, "SLICE", size)
+    monkeypatch.setattr(decontam, "PASS", many)
     items = [(i, f"the question number {i * 7919} asks for nothing at all") for i in range(9)]
-    docs = [(1, "x " * 40_000 + items[4][1].upper() + " y" * 9), (2, items[0][1]), (2, items[0][1]), (3, "clean"), (None, items[1][1])]
+    docs = [(1, "x " * 40_000 + items[4][1].upper() + " y" * 9), (2, items[0][1]), (2, items[0][1]), (2, items[0][1] + " " + items[8][1]), (3, "clean"), (3, None), (None, items[1][1]), (None, "b " + items[1][1])]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id int")
-    b = spark.createDataFrame(items + items[:1], "item_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.leaks(d, b).collect()}
-    assert {(1, 4, 0), (2, 0, 0), (None, 1, 0)} <= got
-    assert [tuple(r) for r in decontam.drop_leaks(d, b).collect()] == [(3, "clean", 1)]
+    b = spark.createDataFrame(items + items[:1] + [(4, items[4][1].replace("asks", "ask"))], "item_id bigint, text string")
+    assert len(list(decontam._passes(b))) == (1 if size > 64 else 5)
+    got = sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in decontam.leaks(d, b).collect()), key=repr)
+    near = {(i, n): e for (i, n), e in brute.leaks([docs[0], (3, "clean")], items, decontam.RATE).items()}
+    want = [(1, n, e) for (_, n), e in near.items()]
+    for i, t in {docs[1], docs[3], *docs[6:]}:
+        want += [(i, n, e) for (_, n), e in brute.leaks([(0, t)], items, decontam.RATE).items()]
+    assert got == sorted(want, key=repr)
+    assert sorted((tuple(r) for r in decontam.drop_leaks(d, b).collect()), key=repr) == [(3, "clean", 1), (3, None, 1)]
+
+
+def test_short_and_long_items(spark, monkeypatch):
+    """An item of any length is found within its budget; long ones take bounded memory and no distance is cut off."""
+    monkeypatch.setattr(decontam, "CELLS", 1 << 12)
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=2_000))
+    far = spoil(rng, long, 400)
+    items = [(1, "short one"), (2, long), (3, "ab cd ef gh ij"), (4, "x")]
+    docs = [(1, "short one"), (2, "Short\tone more"), (3, "short on"), (4, "see ab cd ef gh ij"), (5, "see ab cd eX gh ij"), (6, "see ab cd eX gX ij"), (7, "head " + spoil(rng, long, 60) + " tail"), (8, far)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.leaks(d, b).collect()}
+    assert got == brute.leaks(docs, items, decontam.RATE) and (7, 2) in got and (5, 3) in got and (8, 2) not in got
 
 
 def test_empty(spark):
