@@ -26,7 +26,8 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """A log for a table (conv_id, turn, role, text) of final messages, as a chat server would have written it.
 
     Assistant turns begin as a draft, are regenerated and stream in line by line; other turns are
-    sent and then edited into their text.
+    sent and then edited into their text.  Rows of the same conversation and turn are written one after
+    the other, in the order of role and text, each with sequence numbers of its own.
     """
     c = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
@@ -40,9 +41,10 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
     sent = F.array(event("message", F.col("role"), draft), event("edit", none, F.col("text")))
     log = F.when(F.col("role") == "assistant", streamed).otherwise(sent)
-    return c.select("conv_id", "turn", F.posexplode(log).alias("i", "e")).select(
-        "conv_id", (F.col("turn") * (1 << 24) + F.col("i")).alias("seq"), "turn", "e.kind", "e.role", "e.text"
-    )
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("log", log)
+    c = c.withColumn("base", F.coalesce(F.sum(F.size("log").cast("bigint")).over(before), F.lit(0)))
+    return c.select("conv_id", "turn", "base", F.posexplode("log").alias("i", "e")).select("conv_id", (F.col("base") + F.col("i")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -97,8 +99,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """``render(fold(events_of(conversations)))``.
 
     Rows with a null conv_id or turn are passed over; a null text is empty, a null role ``user``.
-    Rows of the same conversation and turn are events of one message, of which the last in the order
-    of ``fold`` stands.  An empty table gives no rows; further columns are not read.
+    Rows of the same conversation and turn are versions of one message: the last by role (a null one
+    first), then by text, stands, so rows that repeat count once.  Texts of any length are kept whole.  An
+    empty table gives no rows; further columns are not read.
     """
     return render(fold(events_of(conversations)))
 
@@ -108,6 +111,7 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(length(line)) A
        string_agg(line, '' ORDER BY turn) AS text
 FROM (SELECT conv_id, turn, '<|im_start|>' || replace(coalesce(role, 'user'), '<|', '< |') || chr(10)
              || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS line
-      FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) t
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC NULLS LAST, coalesce(text, '') DESC) AS nth
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE nth = 1) t
 GROUP BY conv_id
 """

@@ -57,3 +57,17 @@ def test_sql(spark, sf_dir):
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     got = chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(chat.SQL).fetchall())
+
+
+def test_repeated_turns(spark):
+    """The last version of a turn stands, by role and text; the same in SQL."""
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "first answer\nof two"), (1, 1, "assistant", "second answer\nof two"), (1, 1, "assistant", "second answer\nof two"),
+            (1, 2, "user", "b"), (1, 2, None, "z"), (1, 2, "user", "a"), (2, 0, None, "x"), (2, 0, None, None), (2, 5, "assistant", "late"), (2, 5, "user", "early")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: tuple(r) for r in chat.format_conversations(df).collect()}
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    want = {1: line("user", "ask") + line("assistant", "second answer\nof two") + line("user", "b"), 2: line("user", "x") + line("user", "early")}
+    assert got == {c: (c, n, len(want[c]), want[c]) for c, n in ((1, 3), (2, 2))}
+    con = duckdb.connect()
+    conversations = df.toPandas()  # noqa: F841
+    assert sorted(con.sql(chat.SQL).fetchall()) == sorted(got.values())
