@@ -277,7 +277,8 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     ``starts`` is the byte at which each token begins in the text; ``round_trip`` tells that decoding
     gives the text's bytes again, and is checked for each row.  A null text gives null in the columns
     other than doc_id; an empty text gives empty lists.  Rows are neither merged nor dropped, whatever
-    their doc_id.  Special tokens are never produced: their spelling in a text is ordinary text.
+    their doc_id.  Special tokens are never produced: their spelling in a text is ordinary text.  Texts of
+    any length are read whole; pairs of equal rank merge from the left.  An empty table gives no rows.
     Columns other than doc_id and text are not read.  ``path`` must be readable on every executor.
     """
 
@@ -309,7 +310,8 @@ def decode_documents(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids).
 
     Null ids give a null text, an empty list an empty text.  A null or an id outside the vocabulary
-    within a list is passed over.  Other columns are not read.
+    within a list is passed over; bytes that are no UTF-8 (as where a list ends inside a character) become
+    U+FFFD.  An empty table gives no rows, rows that repeat keep a row each.  Other columns are not read.
     """
 
     def run(batches):
@@ -323,7 +325,11 @@ def decode_documents(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             fine = (ids >= 0) & (ids < t.size)
             kept = np.concatenate([[0], np.cumsum(fine)])
             data, o = t.decode(ids[fine], kept[at])
-            text = binary(data, o, pa.string())
+            try:
+                text = binary(data, o, pa.string())
+                text.validate(full=True)
+            except pa.ArrowInvalid:
+                text = pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(o[:-1], o[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(col.is_null(), None, text)], ["doc_id", "text"])
 
     d = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))

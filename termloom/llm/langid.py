@@ -159,28 +159,38 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of the languages in ``lang``, from at most about ``sample`` rows of each; None without labelled rows."""
+    """A model of the languages in ``lang``, from about ``sample`` rows of each, twice as many at most; None without labelled rows.
+
+    Rows are drawn by a hash of doc_id and text; where the draw takes none (a few rows only), the first by
+    that hash serve.
+    """
     d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    rows = d.where(draw < share[F.col("lang")]).select("id", "lang", "text").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    d = d.withColumn("hash", F.xxhash64("id", "text", F.lit(11)))
+    draw = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)
+    # copies share a hash: the limit holds whatever the table repeats
+    first = lambda rows: rows.orderBy("hash", "id", "lang", "text").limit(2 * sample * len(counts)).select("id", "lang", "text").toArrow()
+    rows = first(d.where(draw < share[F.col("lang")]))
     if not rows.num_rows:
-        rows = d.limit(sample).select("id", "lang", "text").toArrow()
+        rows = first(d)
+    rows = rows.sort_by([("id", "ascending"), ("lang", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang, confidence, rejected) of every row.
 
-    ``lang`` is the likeliest language, also where it is rejected.  A null or empty text, and one
-    without letters, is rejected with a null language and confidence 0.  Rows are neither merged nor
-    dropped: repeated rows and null doc_ids keep a row each.  Without any labelled row there is no
-    model and everything is rejected.  Columns other than doc_id, text and (for the fit) lang are not
-    read.
+    ``lang`` is the likeliest language, the first by name of those that tie, also where it is rejected; a
+    text is rejected if its confidence is under the threshold, not if it is equal.  A null or empty text, and
+    one without letters, is rejected with a null language and confidence 0.  Texts of any length are read
+    whole.  Rows are neither merged nor dropped: repeated rows and null doc_ids keep a row each.  Without
+    any labelled row there is no model: then no language is named, confidence is 0, and what has letters is
+    not rejected.  An empty table gives no rows.  Columns other than doc_id, text and (for the fit) lang are
+    not read.
     """
     model = model or fit(docs)
     names = pa.array(model.labels if model else [], pa.string())
@@ -189,7 +199,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for piece in pieces(batches):
             o, data = buffers(piece.column(1))
             if model is None:
-                best, conf, rejected = np.zeros(piece.num_rows, int), np.zeros(piece.num_rows), np.ones(piece.num_rows, bool)
+                best, conf, rejected = np.zeros(piece.num_rows, int), np.zeros(piece.num_rows), ~_letters(o, data)
                 known = np.zeros(piece.num_rows, bool)
             else:
                 best, conf, rejected = model.predict(o, data)
@@ -203,24 +213,32 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return d.mapInArrow(run, "doc_id bigint, lang string, confidence double, rejected boolean")
 
 
+def _letters(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    seen = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_BLANK[data] != 32, out=seen[1:])
+    return seen[offsets[1:]] > seen[offsets[:-1]]
+
+
 def _sums_known(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Whether each text has a subword."""
-    flat = _BLANK[data] != 32
-    seen = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(flat, out=seen[1:])
-    return (seen[offsets[1:]] > seen[offsets[:-1]]) & (np.diff(offsets) >= 3)
+    return _letters(offsets, data) & (np.diff(offsets) >= 3)
 
 
 def drop_rejected(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that ``identify`` does not reject, with all their columns; text is read, not changed."""
+    """The documents that ``identify`` does not reject, with all their columns; text is read, not changed.
+
+    Each row is decided by its own text, so rows that repeat stay or go together, whatever their doc_id.
+    Null and empty texts go, and those without letters.  Without any labelled row only they go.  An empty
+    table gives no rows.
+    """
     model = model or fit(docs)
-    if model is None:
-        return docs.limit(0)
     text = docs.columns.index("text")
 
     def run(batches):
         for piece in pieces(batches):
-            rejected = model.predict(*buffers(piece.column(text)))[2]
+            o, data = buffers(piece.column(text))
+            rejected = ~_letters(o, data) if model is None else model.predict(o, data)[2]
             yield piece.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

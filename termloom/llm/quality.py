@@ -192,15 +192,17 @@ def _lexicon(counts: DataFrame, column: str, base: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most about ``sample`` labelled rows; a constant one where there are none."""
+    """A model from about ``sample`` labelled rows, twice as many at most; a constant one where there are none."""
     lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)")
     n = lab.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
-    lab = lab.where(draw < min(1.0, sample / max(n, 1)))
+    # many labels of one doc_id share its hash: the limit holds whatever the table repeats
+    lab = lab.withColumn("hash", F.xxhash64("doc_id", F.lit(23)))
+    lab = lab.where(F.pmod("hash", F.lit(1 << 20)) / float(1 << 20) < min(1.0, sample / max(n, 1)))
+    lab = cut(lab.orderBy("hash", "doc_id", "quality", "toxic").limit(2 * sample).drop("hash"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # the labels are bounded by the sample, so they may go to every task
-    rows = texts.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "quality", "toxic")
+    rows = cut(texts.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "quality", "toxic"))
     counts = rows.mapInArrow(_word_labels, "word bigint, n bigint, toxic bigint, poor bigint")
     counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "poor")]).where(F.col("n") >= LEAST)
     counts = cut(counts)
@@ -213,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), piece.column(3), flat], ["doc_id", "quality", "toxic", "x"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, quality int, toxic int, x array<float>").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(run, "doc_id bigint, quality int, toxic int, x array<float>")
+    # an id with a label may name very many rows; the fit reads a bounded number of them too
+    got = got.orderBy(F.xxhash64("doc_id", "x"), "quality", "toxic").limit(2 * sample).toArrow().sort_by("doc_id")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if got.num_rows else np.zeros((0, len(NAMES)), np.float32)
     return Model(toxic_words, poor_words, *(boost(x, got.column(c).to_numpy().astype(float)) for c in ("quality", "toxic")))
 
@@ -225,7 +229,9 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     A null text counts as an empty one.  Rows are neither merged nor dropped: repeated rows and null
     doc_ids keep a row each.  Labels that are null or neither 0 nor 1, and those without a document,
     are passed over; a document with several labels counts with each.  Without labels the
-    probabilities are one half.  Columns other than these are not read.
+    probabilities are one half, at which a document is kept (quality is at least one half) only if toxicity
+    is under it.  Texts of any length are read whole; an empty table gives no rows.  Columns other than these
+    are not read.
     """
     model = model or fit(docs, labels)
 

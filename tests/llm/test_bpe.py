@@ -49,6 +49,8 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, []), (3, [64, None, -5, 10**9, 64])], "doc_id bigint, ids array<int>")
     got = {r["doc_id"]: r["text"] for r in bpe.decode_documents(odd).collect()}
     assert got[1] is None and got[2] == "" and len(got[3]) == 2
+    part = spark.createDataFrame([(1, [bpe.tokenizer(bpe.VOCABULARY).byte_id[b].item() for b in "aé".encode()[:2]]), (2, [64])], "doc_id bigint, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(part).collect()}[1] == "a\ufffd"
 
 
 def test_small_cache(monkeypatch, other):
