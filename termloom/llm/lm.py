@@ -1,27 +1,37 @@
 """Language-model scores by pseudo-likelihood.
 
 A window network predicts every word from ``REACH`` words on both sides: position-wise embeddings are
-summed, passed through tanh, and a two-level softmax gives the cluster of the word and the word within
+summed, passed through tanh, and a two-level softmax gives the cluster of the word and the symbol within
 its cluster.  A document's score is the sum over its words of log p(word | both sides).
 
 Everything the model knows is gathered from the whole corpus.  All words of all documents are counted;
 the most frequent are symbols of their own and all others share hashed ones, and the counts set the
-output biases, so the network starts as the corpus' unigram model.  The whole table of counts is kept and
-joined by word to the words that share a symbol: p(word) is p(symbol) times the word's share of it.
-
-Training takes ``ROUNDS`` passes, and every word of every document is the target of one of them.  In a pass
-each task trains a replica on its documents by stochastic gradient descent; the replicas are averaged,
-weighted by the words each saw, and the next pass starts from the average.
+output biases, so the network starts as the corpus' unigram model.  A word's share of its symbol is its
+count's, for the ``LISTED`` most frequent words; what those leave of a symbol its other words have in equal
+parts.  So the probabilities of all words that occur add up to 1.
+
+Training takes ``ROUNDS`` passes over the symbols, which are written once, and every word of every document
+is the target of one of them.  In a pass each task trains a replica on its documents by stochastic gradient
+descent; the replicas are averaged, weighted by the words each saw, and the next pass starts from the average.
+
+The network is the prior of a count over the whole corpus, which grows with it: of the n other places where
+the same two words stand on either side, c hold this word, and p = (c + BELIEF * network) / (n + BELIEF).
+No place counts for itself.  The words travel to their context's bucket, packed, and come back as sums for
+each document.
 """
 
 from __future__ import annotations
 
+import math
+import posixpath
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm._state import cut
+from termloom.llm._state import cut, remove, shared_folder
 from termloom.llm._text import buffers, mix, pieces, words
 
 REACH, DIM, CLUSTERS, SIZE = 2, 32, 32, 32
@@ -31,6 +41,14 @@ _SLOTS = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = {
     "emb": (len(_SLOTS), SYMBOLS + 1, DIM), "hid": (DIM,), "wc": (DIM, CLUSTERS), "bc": (CLUSTERS,), "ww": (CLUSTERS, DIM, SIZE), "bw": (CLUSTERS, SIZE),
 }
+#: Words whose own counts every task knows, at most.
+LISTED = 1 << 18
+#: Weight of the network's probability against the counted places.
+BELIEF = 1.0
+#: A network's log-probabilities are kept in steps of 1 / STEPS, down to -65535 / STEPS.
+STEPS = 2048
+#: Words that travel together, and documents; words of a bucket on average; words from which a bucket is overfull.
+FLUSH, FLUSH_DOCS, BUCKET, OVERFULL = 1 << 20, 50_000, 1 << 21, 1 << 24
 #: Numbers of the parameter vector in a row, and replicas that are averaged at once.
 CHUNK, FAN = 8192, 256
 
@@ -60,10 +78,18 @@ def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 def symbols(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Symbol of each word hash; ``known``: the frequent words' hashes in order of their symbols."""
-    order = np.argsort(known)
-    at = order[np.minimum(np.searchsorted(known, h, sorter=order), max(0, len(known) - 1))] if len(known) else np.zeros(len(h), int)
-    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-    return np.where(hit, at, SYMBOLS - SHARED + (mix(h, 9) % np.uint64(SHARED)).astype(np.int64))
+    shared = SYMBOLS - SHARED + (mix(h, 9) % np.uint64(SHARED)).astype(np.int64)
+    if not len(known):
+        return shared
+    bits = next((b for b in range(16, 23) if len(np.unique(known >> np.uint64(64 - b))) == len(known)), 0)
+    if bits:  # a table of slots, each with one word
+        slot = np.zeros(1 << bits, np.int16)
+        slot[known >> np.uint64(64 - bits)] = np.arange(len(known))
+        at = slot[h >> np.uint64(64 - bits)].astype(np.int64)
+    else:
+        order = np.argsort(known)
+        at = order[np.minimum(np.searchsorted(known, h, sorter=order), len(known) - 1)]
+    return np.where(known[at] == h, at, shared)
 
 
 def contexts(sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -205,62 +231,118 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return cut(_texts(docs).mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the frequent words, counts of all symbols), from all words of all documents."""
+class Vocabulary:
+    """Symbols of words, how often each symbol occurs, and a word's share of its symbol."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray):
+        """The listed words and their counts; ``add`` gives the counts of all words, part by part."""
+        order = np.lexsort((word.view(np.int64), -n))[: SYMBOLS - SHARED]
+        self.known = word[order]
+        order = np.argsort(word)
+        self.listed, self.n = word[order], n[order]
+        self.counts, self.rest, self.kinds = (np.zeros(SYMBOLS, np.int64) for _ in range(3))
+
+    def among(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the list, whether it is there) of each word."""
+        if not len(self.listed):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+        return at, self.listed[at] == h
+
+    def share(self, h: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """log of each word's share of its symbol."""
+        out = np.zeros(len(h), np.float32)
+        own = np.flatnonzero(sym >= SYMBOLS - SHARED)
+        s = sym[own]
+        at, there = self.among(h[own])
+        n = np.where(there, self.n[at] if len(self.n) else 1, self.rest[s] / np.maximum(self.kinds[s], 1))
+        out[own] = np.log(np.maximum(n, 1e-9) / np.maximum(self.counts[s], 1))
+        return out
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """From all words of all documents.  The list ends where a step of 1/32 of an octave of counts would overfill it."""
     counts = word_counts(docs) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - SHARED).toArrow()
-    known = top.column("word").to_numpy().view(np.uint64)
+    level = F.floor(F.log2("n") * 32).cast("int")
+    steps, room, least = counts.groupBy(level.alias("level")).count().collect(), LISTED, None
+    for r in sorted(steps, key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = counts.where(level >= least if least is not None else F.lit(False)).select("word", "n").toArrow()
+    v = Vocabulary(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
 
     def fold(batches):
-        total = np.zeros(SYMBOLS, np.int64)
+        total = np.zeros((3, SYMBOLS))
         for b in batches:
-            sym = symbols(b.column(0).to_numpy().view(np.uint64), known)
-            total += np.bincount(sym, weights=b.column(1).to_numpy(), minlength=SYMBOLS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS)), pa.array(total)], ["sym", "n"])
+            h, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            sym = symbols(h, v.known)
+            rest = ~v.among(h)[1]
+            for i, (at, weight) in enumerate(((sym, n), (sym[rest], n[rest]), (sym[rest], np.ones(rest.sum())))):
+                total[i] += np.bincount(at, weights=weight, minlength=SYMBOLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS)), *(pa.array(x.astype(np.int64)) for x in total)], ["sym", "n", "rest", "kinds"])
+
+    per = counts.mapInArrow(fold, "sym bigint, n bigint, rest bigint, kinds bigint").groupBy("sym")
+    per = per.agg(*[F.sum(c).alias(c) for c in ("n", "rest", "kinds")]).toArrow()
+    for name, to in (("n", v.counts), ("rest", v.rest), ("kinds", v.kinds)):
+        to[per.column("sym").to_numpy()] = per.column(name).to_numpy()
+    return v
+
+
+def symbol_table(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(sym, at) for each piece of text: its words' symbols (16 bits each) and where its documents begin in them (32 bits)."""
+
+    def run(batches):
+        for piece in pieces(batches):
+            _, _, doc, h = words(*buffers(piece.column(1)))
+            if len(h):
+                head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([symbols(h, known).astype(np.int16).tobytes()]), pa.array([head.tobytes()])], ["sym", "at"])
 
-    per = counts.mapInArrow(fold, "sym bigint, n bigint").groupBy("sym").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SYMBOLS, np.int64)
-    total[per.column("sym").to_numpy()] = per.column("n").to_numpy()
-    return known, total
+    return _texts(docs).mapInArrow(run, "sym binary, at binary")
 
 
-def turns(h: np.ndarray, doc: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each word is a target: by a hash of the word, its place and its document's words."""
-    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    size = np.diff(np.append(head, len(h)))
-    place = (np.arange(len(h)) - np.repeat(head, size)).astype(np.uint64)
+def turns(sym: np.ndarray, head: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target: by a hash of its symbol, its place and its document's symbols."""
+    size = np.diff(np.append(head, len(sym)))
+    place = (np.arange(len(sym)) - np.repeat(head, size)).astype(np.uint64)
+    h = mix(sym.astype(np.uint64), 8)
     draw = mix(h + place * np.uint64(0x9E3779B97F4A7C15) + np.repeat(mix(np.add.reduceat(h, head), 8), size), 4)
     return ((draw >> np.uint64(40)) * np.uint64(rounds) >> np.uint64(24)).astype(np.int64)
 
 
-def learn(p: dict, batches, known: np.ndarray, turn: int, rounds: int, rate: float = RATE, before: float = 0) -> int:
-    """Steps on the round's words, after ``before`` words of earlier rounds; the number of its words."""
+def learn(p: dict, batches, turn: int, rounds: int, rate: float = RATE, before: float = 0) -> int:
+    """Steps on the round's words of a symbol table, after ``before`` words of earlier rounds; the number of its words."""
     seen = 0
-    for piece in pieces(batches):
-        _, _, doc, h = words(*buffers(piece.column(1)))
-        if not len(h):
-            continue
-        sym = symbols(h, known)
-        ctx = contexts(sym, doc)
-        rows = np.flatnonzero(turns(h, doc, rounds) == turn)
-        rows = rows[np.argsort(mix(rows.astype(np.uint64), 2))]  # neighbours apart
-        for i in range(0, len(rows), BATCH):
-            r = rows[i : i + BATCH]
-            step(p, ctx[:, r], sym[r], rate / (1 + ((before + seen) / 400_000)) ** 0.5)
-            seen += len(r)
+    for batch in batches:
+        for raw, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sym, head = np.frombuffer(raw, np.int16).astype(np.int64), np.frombuffer(at, np.int32)
+            ctx = contexts(sym, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(sym)))))
+            rows = np.flatnonzero(turns(sym, head, rounds) == turn)
+            rows = rows[np.argsort(mix(rows.astype(np.uint64), 2))]  # neighbours apart
+            for i in range(0, len(rows), BATCH):
+                r = rows[i : i + BATCH]
+                step(p, ctx[:, r], sym[r], rate / (1 + ((before + seen) / 400_000)) ** 0.5)
+                seen += len(r)
     return seen
 
 
 def train(docs: DataFrame, known: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
     """Average of the tasks' replicas after the last round; the unigram model where there are no words."""
+    spark = docs.sparkSession
+    path = posixpath.join(shared_folder(spark), f"symbols-{uuid.uuid4().hex}")
+    symbol_table(docs, known).write.parquet(path)
+    table = spark.read.schema("sym binary, at binary").parquet(path)
     flat, before = start(counts), 0.0
     for turn in range(rounds):
-        flat, seen = _round(docs, flat, known, turn, rounds, rate, before)
+        flat, seen = _round(table, flat, turn, rounds, rate, before)
         before += seen
+    remove(spark, path)
     return flat
 
 
-def _round(docs: DataFrame, flat: np.ndarray, known: np.ndarray, turn: int, rounds: int, rate: float, before: float) -> tuple[np.ndarray, float]:
+def _round(table: DataFrame, flat: np.ndarray, turn: int, rounds: int, rate: float, before: float) -> tuple[np.ndarray, float]:
     """(average of the replicas that start from flat, words that a replica saw on average)."""
     size = len(flat)
 
@@ -268,7 +350,7 @@ def _round(docs: DataFrame, flat: np.ndarray, known: np.ndarray, turn: int, roun
         from pyspark import TaskContext
 
         mine = flat.copy()
-        seen = learn(unpack(mine), batches, known, turn, rounds, rate, before)
+        seen = learn(unpack(mine), batches, turn, rounds, rate, before)
         if seen:
             part = TaskContext.get().partitionId()
             for c in range(-(-size // CHUNK)):
@@ -282,7 +364,7 @@ def _round(docs: DataFrame, flat: np.ndarray, known: np.ndarray, turn: int, roun
         return pa.table({"chunk": t.column("chunk")[:1], "fan": t.column("fan")[:1], "many": many, "seen": seen, "sums": [v.sum(axis=0)]})
 
     schema = "chunk int, fan int, many double, seen double, sums array<double>"
-    sums = _texts(docs).mapInArrow(replica, schema).groupBy("chunk", "fan").applyInArrow(total, schema)
+    sums = table.mapInArrow(replica, schema).groupBy("chunk", "fan").applyInArrow(total, schema)
     got = sums.groupBy("chunk").applyInArrow(total, schema).orderBy("chunk").toArrow()
     if got.num_rows:
         seen, many = got.column("seen").to_numpy(), got.column("many").to_numpy()
@@ -290,55 +372,189 @@ def _round(docs: DataFrame, flat: np.ndarray, known: np.ndarray, turn: int, roun
     return flat, 0.0
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_prob, per_word, full_log_prob, full_per_word) of every row.
+# ---- what the words' contexts hold elsewhere ----
 
-    ``log_prob`` is the sum of the conditional log-probabilities of the words' symbols, ``per_word`` its
-    mean.  ``full_log_prob`` and ``full_per_word`` are those of the words themselves: a word that shares its
-    symbol adds log(n of the word / n of the symbol), from the counts of all words.  The words scored are
-    the words counted, so none is unseen and no mass is put aside for such.
+_PACKED = "bucket bigint, flush bigint, ids array<bigint>, n array<bigint>, log_prob array<double>, packed binary, raw boolean"
+_ENTRY = np.dtype([("key", "<u8"), ("lp", "<u2"), ("doc", "<u2")])
+_SUM = np.dtype([("doc", "<u2"), ("sum", "<f4")])
 
-    A text without words, an empty or a null one has no words, sums 0 and null means.  Rows are
-    neither merged nor dropped: repeated rows and null doc_ids keep a row each (and count each time in
-    training).  An empty table gives no rows; columns other than doc_id and text are not read.
-    """
-    per = word_counts(docs)
-    known, counts = vocabulary(docs, per)
-    flat = train(docs, known, counts)
-    bulk = np.log(np.maximum(counts, 1))
+
+def places(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the words on either side, 40 bits of it and 24 of the word) of each word."""
+    left, right = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    if len(h) > 1:
+        near = doc[1:] == doc[:-1]
+        left[1:] = np.where(near, h[:-1], 0)
+        right[:-1] = np.where(near, h[1:], 0)
+    ctx = mix(mix(left, 11) + right * np.uint64(0x9E3779B97F4A7C15))
+    return ctx, (ctx & np.uint64((1 << 40) - 1)) << np.uint64(24) | mix(h, 12) >> np.uint64(40)
+
+
+def _row(bucket: int, flush: int, ids=None, n=None, log_prob=None, packed=None, raw: bool = False) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.bool_()]
+    row = (bucket, flush, ids, n, log_prob, packed, raw)
+    arrays = [
+        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) if isinstance(v, pa.Array) else pa.array([v], k) for v, k in zip(row, kinds, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "flush", "ids", "n", "log_prob", "packed", "raw"])
+
+
+def _emit(flat: np.ndarray, v: Vocabulary, buckets: int):
+    """For each flush a row of its documents with the network's sums, and a packed row of words for each bucket."""
 
     def run(batches):
-        """A row for each text, and a row (word, key) for each of its words that share a symbol."""
         from pyspark import TaskContext
 
-        p = unpack(flat)
-        at = TaskContext.get().partitionId() << 33
+        p, flush = unpack(flat), TaskContext.get().partitionId() << 33
+        held, count, docs = [], 0, 0
+
+        def send():
+            ids = pa.concat_arrays([x[0] for x in held])
+            n, total = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+            yield _row(buckets + flush % buckets, flush, ids, pa.array(n), pa.array(total))
+            to, entry = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+            order = np.argsort(to, kind="stable")
+            edge = np.searchsorted(to[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edge)):
+                yield _row(int(b), flush, packed=entry[order[edge[b] : edge[b + 1]]].tobytes())
+
         for piece in pieces(batches):
             _, _, doc, h = words(*buffers(piece.column(1)))
-            sym = symbols(h, known)
-            lp = log_probs(p, contexts(sym, doc), sym)
             m = piece.num_rows
-            n = np.bincount(doc, minlength=m)
-            total = np.bincount(doc, weights=lp, minlength=m).astype(np.float64)  # of no words numpy makes integers
-            own = np.flatnonzero(sym >= SYMBOLS - SHARED)
-            less = -np.bincount(doc[own], weights=bulk[sym[own]], minlength=m).astype(np.float64)
-            key = at + np.arange(m, dtype=np.int64)
-            # a text's row travels under a hash of its key, which spreads the rows and means no word
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(key.view(np.uint64), 6).view(np.int64)), pa.array(key), piece.column(0), pa.array(n), pa.array(total), pa.array(less)], names
-            )
-            if len(own):
-                none = [pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(key[doc[own]]), *none], names)
-            at += m
-
-    names = ["word", "key", "doc_id", "n_words", "log_prob", "less"]
-    rows = _texts(docs).mapInArrow(run, "word bigint, key bigint, doc_id bigint, n_words bigint, log_prob double, less double")
-    share = F.when(F.col("n_words").isNull(), F.log(F.coalesce("n", F.lit(1)))).otherwise(F.col("less"))
-    one = [F.max(c).alias(c) for c in ("doc_id", "n_words", "log_prob")]  # of the text's row alone
-    texts = rows.join(per, "word", "left").groupBy("key").agg(*one, F.sum(share).alias("share"))
-    mean = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
-    full = F.col("log_prob") + F.col("share")
-    return texts.select(
-        "doc_id", "n_words", "log_prob", mean(F.col("log_prob")).alias("per_word"), full.alias("full_log_prob"), mean(full).alias("full_per_word")
-    )
+            if held and (count + len(h) > FLUSH or docs + m > FLUSH_DOCS):
+                yield from send()
+                held, count, docs, flush = [], 0, 0, flush + 1
+            sym = symbols(h, v.known)
+            lp = np.clip(np.round((log_probs(p, contexts(sym, doc), sym) + v.share(h, sym)) * -STEPS), 0, 65535).astype(np.uint16)
+            ctx, key = places(h, doc)
+            entry = np.empty(len(h), _ENTRY)
+            entry["key"], entry["lp"], entry["doc"] = key, lp, doc + docs
+            to = ((ctx >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32 if buckets > 1 << 15 else np.int16)
+            total = np.bincount(doc, weights=lp, minlength=m) / -STEPS if len(doc) else np.zeros(m)
+            held.append((piece.column(0), np.bincount(doc, minlength=m), total, to, entry))
+            count, docs = count + len(h), docs + m
+        if held:
+            yield from send()
+
+    return run
+
+
+def _gain(c, n, p):
+    """What the counts add to log p: c of n other places hold the word."""
+    return np.log((c + BELIEF * p) / ((n + BELIEF) * p))
+
+
+def _resolve(overfull: int):
+    """Documents' rows as they are, and for each flush its documents' sums over a bucket; overfull buckets as they came."""
+
+    def sums(bucket, held):
+        if not held:
+            return
+        entry = np.concatenate([np.frombuffer(raw, _ENTRY) for _, raw in held])
+        which = np.repeat(np.arange(len(held)), [len(raw) // _ENTRY.itemsize for _, raw in held])
+        key = entry["key"]
+        order = np.argsort(key >> np.uint64(24), kind="stable")
+        ctx = (key >> np.uint64(24))[order]
+        same = ctx[1:] == ctx[:-1]
+        some = np.append(False, same) | np.append(same, False)
+        order = order[some]  # of the contexts that occur elsewhere too
+        if not len(order):
+            return
+        order = order[np.argsort(key[order], kind="stable")]
+        key = key[order]
+        n, c = (_run_lengths(x) - 1 for x in (key >> np.uint64(24), key))
+        gain = _gain(c, n, np.exp(entry["lp"][order] / -STEPS))
+        at, to = np.unique(which[order] << 16 | entry["doc"][order], return_inverse=True)
+        out = np.empty(len(at), _SUM)
+        out["doc"], out["sum"] = at & 0xFFFF, np.bincount(to, weights=gain)
+        edge = np.searchsorted(at >> 16, np.arange(len(held) + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            yield _row(bucket, held[i][0], packed=out[edge[i] : edge[i + 1]].tobytes())
+
+    def run(batches):
+        bucket, held, size = -1, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, flush, packed = (batch.column(c)[i].as_py() for c in (0, 1, 5))
+                if packed is None:
+                    yield batch.slice(i, 1)
+                    continue
+                if at != bucket:
+                    yield from sums(bucket, held)
+                    bucket, held, size = at, [], 0
+                held.append((flush, packed))
+                size += len(packed) // _ENTRY.itemsize
+                if size > overfull:  # from here on what comes of this bucket passes through
+                    for f, x in held:
+                        yield _row(bucket, f, packed=x, raw=True)
+                    held = []
+        yield from sums(bucket, held)
+
+    return run
+
+
+def _run_lengths(x: np.ndarray) -> np.ndarray:
+    """Of each element of a sorted array, how many are equal to it."""
+    head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    size = np.diff(np.append(head, len(x)))
+    return np.repeat(size, size)
+
+
+def _apart(raw: DataFrame) -> DataFrame:
+    """The same sums for the words of overfull buckets, by counts with partial sums and joins that Spark may split."""
+
+    def rows(batches):
+        for batch in batches:
+            for flush, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                e = np.frombuffer(packed, _ENTRY)
+                key, p = np.ascontiguousarray(e["key"]), np.exp(e["lp"] / -STEPS)
+                cols = [np.full(len(e), bucket), key.view(np.int64), (key >> np.uint64(24)).view(np.int64), np.full(len(e), flush), e["doc"].astype(np.int32), p]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["bucket", "key", "ctx", "flush", "doc", "p"])
+
+    def pack(batches):
+        for b in batches:
+            out = np.empty(b.num_rows, _SUM)
+            out["doc"], out["sum"] = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for flush, x in zip(b.column(0).to_pylist(), out, strict=True):
+                yield _row(-1, flush, packed=x.tobytes())
+
+    each = raw.select("flush", "bucket", "packed").mapInArrow(rows, "bucket bigint, key bigint, ctx bigint, flush bigint, doc int, p double")
+    c = each.groupBy("bucket", "ctx", "key").agg(F.count("*").alias("c"))
+    n = c.groupBy("bucket", "ctx").agg(F.sum("c").alias("n"))
+    gain = F.log((F.col("c") - 1 + BELIEF * F.col("p")) / ((F.col("n") - 1 + BELIEF) * F.col("p")))
+    sums = each.join(c.join(n, ["bucket", "ctx"]).select("bucket", "key", "c", "n"), ["bucket", "key"]).groupBy("flush", "doc").agg(F.sum(gain).alias("gain"))
+    return sums.mapInArrow(pack, _PACKED)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, log_prob, per_word, network_log_prob) of every row.
+
+    ``log_prob`` is the sum over the words of log p(word | both sides), from the network and from the other
+    places of the word's context in the corpus; ``per_word`` is its mean.  ``network_log_prob`` leaves those
+    places out.  A word's own place never counts for it, but another row with the same text does.
+
+    A text without words, an empty or a null one has no words, sums 0 and a null mean.  Texts of any length
+    are read whole; ties between equally frequent words go by their hashes.  Rows are neither merged nor
+    dropped: repeated rows and null doc_ids keep a row each (and count each time).  An empty table gives
+    no rows; columns other than doc_id and text are not read.
+    """
+    v = vocabulary(docs)
+    flat = train(docs, v.known, v.counts)
+    buckets = max(1, math.ceil(int(v.counts.sum()) / BUCKET))
+    sent = _texts(docs).mapInArrow(_emit(flat, v, buckets), _PACKED)
+    rows = cut(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(OVERFULL), _PACKED))
+    raw = rows.where("raw")
+    parts = rows.where("NOT raw")
+    if not raw.isEmpty():
+        parts = parts.unionByName(_apart(raw))
+
+    def total(t: pa.Table) -> pa.Table:
+        base = t.filter(t.column("ids").is_valid())
+        ids, n, network = (base.column(c).combine_chunks().flatten() for c in ("ids", "n", "log_prob"))
+        n, network = n.to_numpy(), network.to_numpy()
+        sums = np.frombuffer(b"".join(x for x in t.column("packed").to_pylist() if x is not None), _SUM)
+        full = network + np.bincount(sums["doc"], weights=sums["sum"], minlength=len(n))
+        mean = pa.array(full / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"doc_id": ids, "n_words": n, "log_prob": full, "per_word": mean, "network_log_prob": network})
+
+    return parts.groupBy("flush").applyInArrow(total, "doc_id bigint, n_words bigint, log_prob double, per_word double, network_log_prob double")

@@ -43,8 +43,20 @@ def test_language_of_nothing(spark, larger):
     assert not {1, 2, 3} & set(left) and None in left
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert langid.identify(empty).count() == 0
-    blank = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
-    assert [r["rejected"] for r in langid.identify(blank).collect()] == [True] and langid.drop_rejected(blank).count() == 0
+    # without labels nothing is identified, and only what has no letters goes
+    blank = spark.createDataFrame([(1, "text", None), (2, "12", None), (3, None, None), (1, "text", None)], "doc_id bigint, text string, lang string")
+    assert sorted((r["doc_id"], r["lang"], r["confidence"], r["rejected"]) for r in langid.identify(blank).collect()) == [(1, None, 0, False)] * 2 + [(2, None, 0, True), (3, None, 0, True)]
+    assert [r["doc_id"] for r in langid.drop_rejected(blank).collect()] == [1, 1]
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Copies share their draw, yet the fit reads a bounded number of them, and the same ones each time."""
+    rows = spark.createDataFrame([(1, "the same text again and again", "en")] * 500 + [(2, "ein anderer Text", "de")], "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
+    for _ in range(2):
+        langid.fit(rows.repartition(7), 5)
+    assert seen[0] == seen[1] and 0 < len(seen[0][0]) <= 20
 
 
 def test_scores_are_the_plain_mean():
@@ -113,20 +125,111 @@ def test_probabilities_add_up():
         assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def _words(rows):
+    _, _, doc, h = words(*buffers(pa.array([t or "" for _, t in rows])))
+    return doc, h
+
+
 def test_training_beats_counting(spark, larger):
     docs = larger[0]
-    known, counts = lm.vocabulary(docs)
-    rows = docs.where("text IS NOT NULL").select("text").toArrow().column("text")
-    total = sum(len(words(*buffers(pa.array([t])))[0]) for t in rows.to_pylist())
-    assert counts.sum() == total  # every word of every document
-    trained = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    assert len(trained) == docs.count()
-    _, _, doc, h = words(*buffers(rows))
-    sym = lm.symbols(h, known)
-    plain = lm.log_probs(lm.unpack(lm.start(counts)), lm.contexts(sym, doc), sym)
-    assert sum(r["log_prob"] for r in trained.values()) > plain.sum() + 0.02 * abs(plain.sum())
-    assert sum(r["n_words"] for r in trained.values()) == total
-    assert all(r["log_prob"] == pytest.approx(r["per_word"] * r["n_words"]) for r in trained.values() if r["n_words"])
+    v = lm.vocabulary(docs)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    doc, h = _words(rows)
+    assert v.counts.sum() == len(h)  # every word of every document
+    sym = lm.symbols(h, v.known)
+    fit = lambda flat: float(lm.log_probs(lm.unpack(flat), lm.contexts(sym, doc), sym).sum())
+    plain = fit(lm.start(v.counts))
+    assert fit(lm.train(docs, v.known, v.counts)) > plain + 0.02 * abs(plain)
+    scored = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    assert len(scored) == docs.count() and sum(r["n_words"] for r in scored.values()) == len(h)
+    assert all(r["log_prob"] == pytest.approx(r["per_word"] * r["n_words"]) for r in scored.values() if r["n_words"])
+
+
+def _plain_score(rows, v, flat):
+    """{row: (log_prob, network_log_prob)}, word by word."""
+    from collections import Counter
+
+    p = lm.unpack(flat.astype(np.float64))
+    doc, h = _words(rows)
+    names = {int(x): i for i, x in enumerate(v.known)}
+    shared = lambda x: lm.SYMBOLS - lm.SHARED + int(lm.mix(np.array([x], np.uint64), 9)[0] % np.uint64(lm.SHARED))
+    said = [[int(x) for x in h[doc == i]] for i in range(len(rows))]
+    n = Counter(x for d in said for x in d)
+    sym = {x: names[x] if x in names else shared(x) for x in n}
+    listed = {int(x) for x in v.listed}
+    bulk, rest, kinds = Counter(), Counter(), Counter()
+    for x, k in n.items():
+        bulk[sym[x]] += k
+        if x not in listed:
+            rest[sym[x]] += k
+            kinds[sym[x]] += 1
+    around = lambda d, i: (d[i - 1] if i else None, d[i + 1] if i + 1 < len(d) else None)
+    place, holds = Counter(), Counter()
+    for d in said:
+        for i, x in enumerate(d):
+            place[around(d, i)] += 1
+            holds[around(d, i), x] += 1
+    out = {}
+    for row, d in enumerate(said):
+        full = network = 0.0
+        for i, x in enumerate(d):
+            hid = p["hid"].copy()
+            for slot, o in enumerate(lm._SLOTS):
+                hid += p["emb"][slot][sym[d[i + o]] if 0 <= i + o < len(d) else lm.SYMBOLS]
+            hid = np.tanh(hid)
+            c, inner = divmod(sym[x], lm.SIZE)
+            a, b = hid @ p["wc"] + p["bc"], hid @ p["ww"][c] + p["bw"][c]
+            lp = a[c] - np.log(np.exp(a).sum()) + b[inner] - np.log(np.exp(b).sum())
+            if x not in names:
+                lp += np.log((n[x] if x in listed else rest[sym[x]] / kinds[sym[x]]) / bulk[sym[x]])
+            c, m = holds[around(d, i), x] - 1, place[around(d, i)] - 1
+            network += lp
+            full += np.log((c + lm.BELIEF * np.exp(lp)) / (m + lm.BELIEF))
+        out[row] = full, network
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_those_of_each_word(spark, monkeypatch, small):
+    """Against a plain version; with small flushes and buckets, of which the fuller ones are counted apart."""
+    if small:
+        for name, value in (("FLUSH", 40), ("BUCKET", 200), ("OVERFULL", 250), ("LISTED", 900)):
+            monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(5)
+    said = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, rng.integers(1, 60)) % 5000) for _ in range(120)]
+    said += ["one sentence that occurs in just these words"] * 30 + ["", "?!", "alone"]
+    rows = list(enumerate(said)) + [(None, said[0]), (7, said[3]), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    flat = np.random.default_rng(6).normal(size=lm.start(np.ones(lm.SYMBOLS)).shape).astype(np.float32) * 0.3
+    monkeypatch.setattr(lm, "train", lambda *a: flat)
+    v = lm.vocabulary(df)
+    assert 0 < len(v.known) <= lm.SYMBOLS - lm.SHARED and len(v.listed) <= lm.LISTED and (len(v.listed) < 900 or not small)
+    want = sorted(((i is None, i or 0, *x) for (i, _), x in zip(rows, _plain_score(rows, v, flat).values(), strict=True)))
+    have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["log_prob"], r["network_log_prob"]) for r in lm.score(df).collect())
+    assert len(have) == len(want)
+    assert np.allclose(have, want, rtol=1e-3, atol=0.02)
+
+
+def test_shares_add_up(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 1500)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 9000)) for i in range(300)]
+    v = lm.vocabulary(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    each = np.unique(_words(rows)[1])
+    assert len(v.known) < len(v.listed) < len(each)
+    sym = lm.symbols(each, v.known)
+    mass = np.bincount(sym, weights=np.exp(v.share(each, sym).astype(float)), minlength=lm.SYMBOLS)
+    assert mass[v.counts > 0] == pytest.approx(1, abs=1e-4)
+
+
+def test_copies_score_apart(spark, larger):
+    """A text that occurs twice is foretold by its other place; one of its kind that occurs once is not."""
+    rng = np.random.default_rng(8)
+    new = lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choice(["ka", "lo", "mi"], 80), rng.integers(0, 900, 80), strict=True))
+    once, twice = [(10**6 + i, new()) for i in range(20)], [(2 * 10**6 + i, new()) for i in range(20)]
+    docs = larger[0].select("doc_id", "text").unionByName(spark.createDataFrame(once + twice + twice, "doc_id bigint, text string"))
+    got = [(r["doc_id"], r["per_word"]) for r in lm.score(docs).where("doc_id >= 1000000").collect()]
+    assert min(x for i, x in got if i >= 2 * 10**6) > max(x for i, x in got if i < 2 * 10**6)
 
 
 def test_scores_of_odd_rows(spark):
@@ -143,59 +246,39 @@ def test_contexts_stay_in_their_text():
     ctx = lm.contexts(np.array([5, 6, 7, 8]), np.array([0, 0, 1, 1]))
     s = lm.SYMBOLS
     assert ctx.T.tolist() == [[s, s, 6, s], [s, 5, s, s], [s, s, 8, s], [s, 7, s, s]]
+    ctx, key = lm.places(np.array([5, 6, 5, 6, 5], np.uint64), np.array([0, 0, 1, 1, 1]))
+    assert ctx[0] == ctx[2] and key[0] == key[2] and len({int(x) for x in ctx}) == 4
 
 
-def test_words_that_share_a_symbol_differ(spark):
-    rng = np.random.default_rng(5)
-    said = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, 60) % 5000) for _ in range(200)]
-    rows = [(i // 2, t) for i, t in enumerate(said)] + [(None, said[0]), (7, ""), (8, None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    texts = [t or "" for _, t in rows]
-    _, _, doc, h = words(*buffers(pa.array(texts)))
-    known, counts = lm.vocabulary(df)
-    each, at, n = np.unique(h, return_inverse=True, return_counts=True)
-    sym = lm.symbols(each, known)
-    assert len(each) > len(known)
-    share = np.where(sym >= lm.SYMBOLS - lm.SHARED, np.log(n / counts[sym]), 0.0)
-    want = np.bincount(doc, weights=share[at], minlength=len(texts))
-    got = lm.score(df).collect()
-    assert len(got) == len(rows)
-    key = lambda d, n, x: (d is None, d or 0, n, round(x, 3))
-    sizes = np.bincount(doc, minlength=len(texts))
-    have = sorted(key(r["doc_id"], r["n_words"], r["full_log_prob"] - r["log_prob"]) for r in got)
-    assert np.allclose(have, sorted(key(d, int(k), x) for (d, _), k, x in zip(rows, sizes, want, strict=True)), atol=2e-3)
-    assert all(r["full_per_word"] == pytest.approx(r["full_log_prob"] / r["n_words"]) if r["n_words"] else r["full_per_word"] is None for r in got)
-    # the words of a symbol share all of it
-    mass = np.bincount(sym, weights=np.exp(np.where(sym >= lm.SYMBOLS - lm.SHARED, np.log(n / counts[sym]), 0.0)), minlength=lm.SYMBOLS)
-    assert mass[counts > 0] == pytest.approx(1)
-
-
-def test_every_word_is_a_target_once(monkeypatch):
+def test_every_word_is_a_target_once(spark, monkeypatch):
     texts = [f"the same start of text {i} and words w{i % 7} w{i % 11}" for i in range(300)] + ["", None, "one"]
-    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
-    _, _, doc, h = words(*buffers(batch.column(1)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    _, _, doc, h = words(*buffers(pa.array(texts)))
     known = np.unique(h)[:20]
+    batches = lm.symbol_table(df, known).toArrow().to_batches()
     seen, rates = [], []
     monkeypatch.setattr(lm, "step", lambda p, ctx, y, rate: (seen.append(y), rates.append(rate)))
-    sizes = [lm.learn({}, [batch], known, t, lm.ROUNDS, before=400_000 * t) for t in range(lm.ROUNDS)]
+    sizes = [lm.learn({}, batches, t, lm.ROUNDS, before=400_000 * t) for t in range(lm.ROUNDS)]
     assert sum(sizes) == len(h) and min(sizes) > 0.8 * len(h) / lm.ROUNDS
     assert sorted(np.concatenate(seen)) == sorted(lm.symbols(h, known))
     assert all(a > b for a, b in zip(rates, rates[1:], strict=False))
     # the same word in the same place: not the same round in every document
-    first = lm.turns(h, doc, lm.ROUNDS)[np.searchsorted(doc, np.arange(300))]
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    first = lm.turns(lm.symbols(h, known), head, lm.ROUNDS)[np.searchsorted(doc, np.arange(300))]
     assert set(first) == set(range(lm.ROUNDS))
 
 
 def test_rounds_start_from_the_average(spark, larger):
     docs = larger[0].limit(400).repartition(3).cache()
-    known, counts = lm.vocabulary(docs)
+    v = lm.vocabulary(docs)
     _, _, doc, h = words(*buffers(docs.select("text").toArrow().column("text")))
-    sym = lm.symbols(h, known)
-    fit = lambda rounds: float(lm.log_probs(lm.unpack(rounds), lm.contexts(sym, doc), sym).sum())
-    flat, before = lm.start(counts), 0.0
+    sym = lm.symbols(h, v.known)
+    table = lm.symbol_table(docs, v.known).cache()
+    fit = lambda flat: float(lm.log_probs(lm.unpack(flat), lm.contexts(sym, doc), sym).sum())
+    flat, before = lm.start(v.counts), 0.0
     fits = [fit(flat)]
     for t in range(lm.ROUNDS):
-        flat, seen = lm._round(docs, flat, known, t, lm.ROUNDS, lm.RATE, before)
+        flat, seen = lm._round(table, flat, t, lm.ROUNDS, lm.RATE, before)
         before += seen
         fits.append(fit(flat))
     assert before * 3 == pytest.approx(len(h))
