@@ -97,7 +97,7 @@ def _near(fp: np.ndarray, x: np.ndarray, y: np.ndarray, max_distance: int) -> np
     return np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= max_distance
 
 
-def _links(low_bits: int, radius: int, max_distance: int):
+def _links(low_bits: int, radius: int, max_distance: int, crowd: int):
     masks = _ball(low_bits, radius)
 
     def run(table: pa.Table) -> pa.Table:
@@ -112,7 +112,7 @@ def _links(low_bits: int, radius: int, max_distance: int):
         n = len(nodes)
         label = np.arange(n)
         home = np.flatnonzero((flips == 0) & table.column("home").to_numpy(zero_copy_only=False))
-        _pivots(home, key, fp, node, label, max_distance)
+        _pivots(home, key, fp, node, label, max_distance, crowd)
         there = np.zeros(1 << low_bits, bool)
         there[key[home]] = True
         sets = {f: np.flatnonzero((flips == f) & probing) for f in np.unique(flips).tolist()}
@@ -156,11 +156,11 @@ def _links(low_bits: int, radius: int, max_distance: int):
     return run
 
 
-def _pivots(home: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_distance: int) -> None:
+def _pivots(home: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_distance: int, crowd: int) -> None:
     """Links the rows of each crowded value to PIVOTS of them, each the first that no earlier one has caught."""
     home = home[np.argsort(key[home], kind="stable")]
     first, size = np.unique(key[home], return_index=True, return_counts=True)[1:]
-    rows = home[np.repeat(size >= CROWD, size)]
+    rows = home[np.repeat(size >= crowd, size)]
     for _ in range(PIVOTS):
         if not len(rows):
             return
@@ -203,7 +203,7 @@ def links(fps: DataFrame, radius: int = RADIUS, max_distance: int = MAX_DISTANCE
         homes = F.when(F.col("flips") == 0, F.transform(every, lambda j: pair(part, j))).otherwise(F.array(pair(part, part)))
         tasks = F.when(blocks.isNull(), one).otherwise(F.concat(homes, F.transform(others, lambda i: pair(i, part))))
     rows = rows.withColumn("t", F.explode(tasks)).select("rep", "fp", "seg", "split", "low", "flips", "t.i", "t.j", "t.home", "t.probe")
-    return rows.groupBy("seg", "split", "i", "j").applyInArrow(_links(low, radius, max_distance), "a bigint, b bigint")
+    return rows.groupBy("seg", "split", "i", "j").applyInArrow(_links(low, radius, max_distance, CROWD), "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -147,12 +147,12 @@ def _among(low: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, low), len(sorted_keys) - 1)] == low
 
 
-def _hashes(packed, k: int):
-    """(windows of each packed string, their two hashes), a part of about BLOCK bytes at a time."""
+def _hashes(packed, k: int, part: int):
+    """(windows of each packed string, their two hashes), ``part`` bytes or so at a time."""
     o, data = buffers(packed)
     size, ones, twos, at = [], [], [], 0
     while at < len(o) - 1:
-        end = max(at + 1, int(np.searchsorted(o, o[at] + BLOCK, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(o, o[at] + part, "right")) - 1)
         _, _, owner, h = words(o[at : end + 1] - o[at], data[o[at] : o[end]])
         n = np.bincount(owner, minlength=end - at) - (k - 1)
         first = np.searchsorted(owner, np.arange(end - at), "left")
@@ -165,10 +165,10 @@ def _hashes(packed, k: int):
     return np.concatenate(size), np.concatenate(ones), np.concatenate(twos)
 
 
-def _count_block(block: pa.Table, k: int):
+def _count_block(block: pa.Table, k: int, part: int):
     """Spans of repeated windows within the super-k-mers of complete minimiser groups."""
     doc_id, text, start = (block.column(c).to_numpy() for c in ("doc_id", "h", "start"))
-    n, one, two = _hashes(block.column("packed"), k)
+    n, one, two = _hashes(block.column("packed"), k, part)
     windows = int(n.sum())
     mer = np.repeat(np.arange(len(n)), n)
     offset = np.arange(windows) - (np.cumsum(n) - n)[mer]
@@ -211,10 +211,10 @@ def _count_block(block: pa.Table, k: int):
     )
 
 
-def _count(k: int):
+def _count(k: int, part: int):
     def run(batches):
         held: list[pa.RecordBatch] = []
-        size, goal = 0, BLOCK
+        size, goal = 0, part
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -225,25 +225,25 @@ def _count(k: int):
                 key = block.column("minimiser").to_numpy()
                 full = int(np.searchsorted(key, key[-1], "left"))  # the last minimiser may go on
                 if full:
-                    yield from _blocks(block.slice(0, full), key[:full], k)
+                    yield from _blocks(block.slice(0, full), key[:full], k, part)
                     block = block.slice(full)
                 held, size = block.to_batches(), block.nbytes
-                goal = max(BLOCK, 2 * size)  # one long minimiser is put together a few times only
+                goal = max(part, 2 * size)  # one long minimiser is put together a few times only
         if held:
             block = pa.Table.from_batches(held).combine_chunks()
-            yield from _blocks(block, block.column("minimiser").to_numpy(), k)
+            yield from _blocks(block, block.column("minimiser").to_numpy(), k, part)
 
     return run
 
 
-def _blocks(block: pa.Table, key: np.ndarray, k: int):
-    """The block in parts of about BLOCK bytes that begin where a minimiser does."""
+def _blocks(block: pa.Table, key: np.ndarray, k: int, part: int):
+    """The block in parts of about ``part`` bytes that begin where a minimiser does."""
     o, _ = buffers(block.column("packed"))
     at = 0
     while at < len(key):
-        end = min(len(key), max(at + 1, int(np.searchsorted(o, o[at] + BLOCK, "right")) - 1))
+        end = min(len(key), max(at + 1, int(np.searchsorted(o, o[at] + part, "right")) - 1))
         end = int(np.searchsorted(key, key[end - 1], "right"))
-        out = _count_block(block.slice(at, end - at).combine_chunks(), k)
+        out = _count_block(block.slice(at, end - at).combine_chunks(), k, part)
         if out is not None:
             yield out
         at = end
@@ -257,7 +257,7 @@ def _spans(docs: DataFrame, k: int, m: int) -> DataFrame:
     # there are at most 1 / HOT as many as super-k-mers
     hot = np.sort(counts.where(F.col("n") > HOT).select("minimiser").toArrow().column(0).to_numpy())
     packed = d.mapInArrow(_pack(k, m, hot), _PACKED)
-    spans = packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(k), _SPAN)
+    spans = packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(k, BLOCK), _SPAN)
     if len(hot):
         each = d.mapInArrow(_windows(k, m, hot), _WINDOW)
         total = each.groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "pos")).alias("lead")).where("copies > 1")

@@ -65,7 +65,7 @@ def test_hot_passage_in_bounded_memory():
         ["minimiser", "doc_id", "h", "start", "packed"],
     )
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    spans = pa.Table.from_batches(list(substring._count(50)(batch(at, 10_000) for at in range(0, n, 10_000))))
+    spans = pa.Table.from_batches(list(substring._count(50, substring.BLOCK)(batch(at, 10_000) for at in range(0, n, 10_000))))
     assert spans.num_rows == n and spans.column("first").to_numpy().sum() == 1 and set(spans.column("copies").to_numpy()) == {n}
     assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1200
 
