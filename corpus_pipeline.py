@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import bpe, decontam, langid, simhash, substring
-from termloom.llm._state import shared_folder
+from termloom.llm._state import remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +55,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``: the rows of ``bpe.encode_documents`` for what is kept.
+
+    Documents with a null or empty text go in the first stage; an empty table gives no rows.  Rows with a
+    null doc_id are kept on their own text.  Rows that repeat a doc_id and a text become one (near_dedup),
+    rows that share a doc_id alone stay apart.  Of documents that tie, the smallest doc_id stays.  Each
+    stage's folder is deleted once the next one is written, the last with the session.
+    """
     folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         df = stage(spark, df, sf_dir)
         if i + 1 < len(STAGES):
             path = f"{folder}/{i}-{name}"
             df.write.parquet(path)
             df = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return df
