@@ -36,7 +36,7 @@ from termloom.llm._text import buffers, mix, pieces, words
 
 REACH, DIM, CLUSTERS, SIZE = 2, 32, 32, 32
 SYMBOLS, SHARED = CLUSTERS * SIZE, 256
-ROUNDS, RATE, BATCH = 4, 0.1, 2048
+ROUNDS, RATE, BATCH = 4, 0.1, 4096
 _SLOTS = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = {
     "emb": (len(_SLOTS), SYMBOLS + 1, DIM), "hid": (DIM,), "wc": (DIM, CLUSTERS), "bc": (CLUSTERS,), "ww": (CLUSTERS, DIM, SIZE), "bw": (CLUSTERS, SIZE),
@@ -48,7 +48,7 @@ BELIEF = 1.0
 #: A network's log-probabilities are kept in steps of 1 / STEPS, down to -65535 / STEPS.
 STEPS = 2048
 #: Words that travel together, and documents; words of a bucket on average; words from which a bucket is overfull.
-FLUSH, FLUSH_DOCS, BUCKET, OVERFULL = 1 << 20, 50_000, 1 << 21, 1 << 24
+FLUSH, FLUSH_DOCS, BUCKET, OVERFULL = 1 << 20, 50_000, 1 << 20, 1 << 23
 #: Numbers of the parameter vector in a row, and replicas that are averaged at once.
 CHUNK, FAN = 8192, 256
 
@@ -240,14 +240,20 @@ class Vocabulary:
         self.known = word[order]
         order = np.argsort(word)
         self.listed, self.n = word[order], n[order]
+        self.slot = np.zeros(1 << 20, np.int32)
+        self.slot[self.listed >> np.uint64(44)] = np.arange(len(order))
         self.counts, self.rest, self.kinds = (np.zeros(SYMBOLS, np.int64) for _ in range(3))
 
     def among(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the list, whether it is there) of each word."""
         if not len(self.listed):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
-        return at, self.listed[at] == h
+        at = self.slot[h >> np.uint64(44)]
+        there = self.listed[at] == h
+        rest = np.flatnonzero(~there)  # another word has the slot, or none
+        at[rest] = np.minimum(np.searchsorted(self.listed, h[rest]), len(self.listed) - 1)
+        there[rest] = self.listed[at[rest]] == h[rest]
+        return at, there
 
     def share(self, h: np.ndarray, sym: np.ndarray) -> np.ndarray:
         """log of each word's share of its symbol."""
@@ -450,19 +456,18 @@ def _resolve(overfull: int):
     def sums(bucket, held):
         if not held:
             return
-        entry = np.concatenate([np.frombuffer(raw, _ENTRY) for _, raw in held])
+        entry = np.frombuffer(b"".join(raw for _, raw in held), _ENTRY)
         which = np.repeat(np.arange(len(held)), [len(raw) // _ENTRY.itemsize for _, raw in held])
-        key = entry["key"]
-        order = np.argsort(key >> np.uint64(24), kind="stable")
-        ctx = (key >> np.uint64(24))[order]
+        key = np.ascontiguousarray(entry["key"])
+        order = np.argsort(key)
+        key = key[order]
+        ctx = key >> np.uint64(24)
         same = ctx[1:] == ctx[:-1]
-        some = np.append(False, same) | np.append(same, False)
-        order = order[some]  # of the contexts that occur elsewhere too
+        some = np.append(False, same) | np.append(same, False)  # the contexts that occur elsewhere too
+        order, key, ctx = order[some], key[some], ctx[some]
         if not len(order):
             return
-        order = order[np.argsort(key[order], kind="stable")]
-        key = key[order]
-        n, c = (_run_lengths(x) - 1 for x in (key >> np.uint64(24), key))
+        n, c = (_run_lengths(x) - 1 for x in (ctx, key))
         gain = _gain(c, n, np.exp(entry["lp"][order] / -STEPS))
         at, to = np.unique(which[order] << 16 | entry["doc"][order], return_inverse=True)
         out = np.empty(len(at), _SUM)
