@@ -1,7 +1,8 @@
 """Index tables from a corpus ``(doc_id, text[, title])``.
 
-Every operator is a declarative plan.  The exploded words are partitioned by document once, so counting
-within documents, document lengths and neighbouring words share that one exchange.
+Every operator is a declarative plan.  A document is one row, and what only concerns it (its terms' counts,
+its length, its neighbouring words) is computed from its array of terms in place: only what is counted
+over the corpus is exchanged.
 """
 
 from __future__ import annotations
@@ -33,48 +34,82 @@ def terms(corpus: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     return corpus.where("doc_id IS NOT NULL").select("doc_id", tokens(body(corpus, config)).alias("terms"), *extra)
 
 
+def each(rows: DataFrame, array: Column, name: str, *columns: str) -> DataFrame:
+    """(columns, name) for each element of the array.
+
+    An inner generator would be preceded by a filter on the array's size, which computes the array, and the
+    tokens that it is made of, once more.
+    """
+    return rows.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """The rows over all cores, where the table has fewer files than there are; many files stay as they lie."""
+    cores, files = corpus.sparkSession.sparkContext.defaultParallelism, len(corpus.inputFiles())
+    return corpus.repartition(cores) if 0 < files < cores else corpus
+
+
 def positions(tokenised: DataFrame) -> DataFrame:
-    """(doc_id, pos, term) of every word, partitioned by document."""
-    return tokenised.repartition("doc_id").select("doc_id", F.posexplode("terms").alias("pos", "term"))
+    """(doc_id, pos, term) of every word."""
+    return tokenised.select("doc_id", F.posexplode_outer("terms").alias("pos", "term")).where("term IS NOT NULL")
 
 
 def document_frequency(tokenised: DataFrame) -> DataFrame:
     """(term, df): documents that hold each word."""
-    once = tokenised.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
-    return once.groupBy("term").agg(F.count("*").alias("df"))
+    return each(tokenised, F.array_distinct("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def stopwords(df: DataFrame, n_docs: int, config: BuildConfig = BuildConfig()) -> DataFrame:
-    """(term): words in more than floor(stop_df * N) documents; none under 10 documents."""
+    """(term): words in more than floor(stop_df * N) documents; none under 10 documents.
+
+    A document holds each of them once at most in df, so there are no more than a document has distinct
+    words on average, over stop_df: a list of them is bounded whatever the corpus.
+    """
     limit = int(config.stop_df * n_docs) if n_docs >= 10 else n_docs
     return df.where(F.col("df") > limit).select("term")
 
 
-def kept(places: DataFrame, stops: DataFrame) -> DataFrame:
-    """The words that aren't stopwords.
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once and not for each element that refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    A document holds each stopword once at most in df, so there are no more of them than a document has
-    distinct words on average, over stop_df: the broadcast is bounded whatever the corpus.
-    """
-    return places.join(F.broadcast(stops), "term", "left_anti")
 
+def runs(words: Column) -> Column:
+    """(term, tf) of an array's distinct elements, sorted: the lengths of the runs of the sorted array."""
 
-def term_counts(words: DataFrame) -> DataFrame:
-    """(doc_id, term, tf)."""
-    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    def of(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, F.greatest(i - 1, F.lit(1))) != F.element_at(s, i)))
+        count = lambda h, e: F.struct(F.element_at(s, h).alias("term"), (e - h).cast("bigint").alias("tf"))
+        return _let(heads, lambda h: F.zip_with(h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(s) + 1)), count))
 
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return _let(F.sort_array(words), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(none))
 
-def add_titles(tf: DataFrame, tokenised: DataFrame, stops: DataFrame, weight: float) -> DataFrame:
-    """tf with round((weight - 1) * occurrences in the title) added; terms left with nothing go."""
-    title = kept(tokenised.repartition("doc_id").select("doc_id", F.explode("title_terms").alias("term")), stops)
-    extra = title.groupBy("doc_id", "term").agg(F.round((weight - 1) * F.count("*")).cast("bigint").alias("tf"))
-    return tf.unionByName(extra).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).where("tf > 0")
 
+def counted(tokenised: DataFrame, stops: list[str], config: BuildConfig = BuildConfig()) -> DataFrame:
+    """The rows with ``kept`` (the words that are no stopwords, in order), ``counts`` (term, tf) and ``dl``.
 
-def document_lengths(tokenised: DataFrame, tf: DataFrame) -> DataFrame:
-    """(doc_id, dl) of every document, also of those without a word."""
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    return tokenised.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+    A title's words count round((title_weight - 1) * occurrences) more; terms left with nothing go.
+    """
+    known = lambda w: ~w.isin(stops) if stops else F.lit(True)
+    rows = tokenised.withColumn("kept", F.filter("terms", known))
+    rows = rows.withColumn("counts", runs(F.col("kept")))
+    if "title_terms" in tokenised.columns:
+        more = lambda t: F.round((config.title_weight - 1) * F.size(F.filter("title_terms", lambda w: w == t))).cast("bigint")
+        added = F.transform("counts", lambda x: F.struct(x["term"].alias("term"), (x["tf"] + more(x["term"])).alias("tf")))
+        weighed = F.filter(added, lambda x: x["tf"] > 0)
+        rows = rows.withColumn("counts", F.when(F.size("title_terms") > 0, weighed).otherwise(F.col("counts")))
+    return rows.withColumn("dl", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf) of counted documents."""
+    return each(docs, F.col("counts"), "c", "doc_id").select("doc_id", "c.term", "c.tf")
+
+
+def document_lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl) of every counted document, also of those without a word."""
+    return docs.select("doc_id", "dl")
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -88,17 +123,20 @@ def vocabulary(tf: DataFrame, n_docs: int, config: BuildConfig = BuildConfig())
     return v.withColumn("idf", idf(F.col("df"), F.lit(n_docs)) * weight)
 
 
-def bigrams(words: DataFrame, n_docs: int, config: BuildConfig = BuildConfig()) -> DataFrame:
-    """(t1, t2, doc_id, idf): neighbouring kept words of each document, unless too rare or too common."""
-    after = F.lead("term").over(Window.partitionBy("doc_id").orderBy("pos"))
-    pairs = words.select("doc_id", F.col("term").alias("t1"), after.alias("t2")).where("t2 IS NOT NULL").distinct()
-    n = pairs.groupBy("t1", "t2").agg(F.count("*").alias("df")).where(F.col("df").between(2, max(2, int(config.bigram_max_df * n_docs))))
-    return pairs.join(n, ["t1", "t2"]).select("t1", "t2", "doc_id", idf(F.col("df"), F.lit(n_docs)).alias("idf"))
+def bigrams(docs: DataFrame, n_docs: int, config: BuildConfig = BuildConfig()) -> DataFrame:
+    """(t1, t2, doc_id, idf): neighbouring kept words of each counted document, unless too rare or too common."""
+    n = F.size("kept") - 1
+    # as one string each, which are made distinct by hashing; words hold no blank
+    listed = F.zip_with(F.slice("kept", F.lit(1), n), F.slice("kept", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = each(docs.select("doc_id", F.when(n > 0, F.array_distinct(listed)).alias("pairs")), F.col("pairs"), "pair", "doc_id")
+    n = pairs.groupBy("pair").agg(F.count("*").alias("df")).where(F.col("df").between(2, max(2, int(config.bigram_max_df * n_docs))))
+    word = lambda i: F.substring_index("pair", " ", i)
+    return pairs.join(n, "pair").select(word(1).alias("t1"), word(-1).alias("t2"), "doc_id", idf(F.col("df"), F.lit(n_docs)).alias("idf"))
 
 
-def forward_index(tf: DataFrame) -> DataFrame:
-    """(doc_id, terms): each document's (term, tf), sorted."""
-    return tf.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+def forward_index(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms): each counted document's (term, tf), sorted."""
+    return docs.select("doc_id", "dl", F.col("counts").alias("terms"))
 
 
 def block_max(postings: DataFrame, vocab: DataFrame, avgdl: float, config: BuildConfig = BuildConfig(), size: int = 128) -> DataFrame:
@@ -141,8 +179,17 @@ def digest(text: Column) -> Column:
 
 def first_of_digest(rows: DataFrame) -> DataFrame:
     # partial minima first: a text with very many copies (an empty one) is no hot key
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "digest").select("doc_id", (F.col("doc_id") == F.col("first")).alias("canonical"))
+    return rows.join(_first(rows), "digest").select("doc_id", (F.col("doc_id") == F.col("first")).alias("canonical"))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the documents that are not the first with their digest."""
+    many = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(many, "digest").where("doc_id <> first").select("doc_id", "digest").distinct()
 
 
 def spell_words(corpus: DataFrame, config: BuildConfig = BuildConfig(), dictionary: DataFrame | None = None) -> DataFrame:
@@ -155,7 +202,7 @@ def spelled(text: Column) -> Column:
 
 
 def count_spell_words(rows: DataFrame, config: BuildConfig, dictionary: DataFrame | None = None) -> DataFrame:
-    once = rows.select(F.explode("spelled").alias("word")).where(F.length("word") <= 40)
+    once = each(rows, F.col("spelled"), "word").where(F.length("word") <= 40)
     out = once.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= config.spell_min_df)
     if dictionary is not None:
         known = dictionary.select("word").distinct()

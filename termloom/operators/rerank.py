@@ -53,21 +53,29 @@ def ensemble(model: Mapping, columns: list[Column]) -> Column:
     return out
 
 
-def candidates(index: Index, terms: DataFrame, depth: int = 100) -> DataFrame:
-    """(qid, doc_id, rank, and the eight FEATURES) of the ``depth`` best."""
-    f = S.features(index, terms, depth)
-    return f.select(
+def _described(best: DataFrame) -> DataFrame:
+    """(qid, doc_id, rank, and the eight FEATURES) of ranked rows of ``search.features``."""
+    return best.select(
         "qid", "doc_id", "rank", F.col("score").alias("combined"), "exact", "semantic", "coverage", "doc_len",
         F.log(1 + F.col("doc_len")).alias("log_doc_len"), (F.col("semantic") / F.greatest("score", F.lit(1e-6))).alias("semantic_share"),
         (1 / F.col("rank")).alias("reciprocal_rank"),
     )
 
 
+def candidates(index: Index, terms: DataFrame, depth: int = 100) -> DataFrame:
+    """(qid, doc_id, rank, and the eight FEATURES) of the ``depth`` best."""
+    return _described(S.features(index, terms, depth))
+
+
+def by_trees(best: DataFrame, model: Mapping) -> DataFrame:
+    """(qid, doc_id, score) of ranked rows of ``search.features``, by the ensemble."""
+    score = F.round(ensemble(check_model(model), [F.col(c) for c in FEATURES]), 6)
+    return _described(best).select("qid", "doc_id", score.alias("score"))
+
+
 def rerank_trees(index: Index, terms: DataFrame, model: Mapping, k: int = 10, depth: int = 100) -> DataFrame:
     """The ``depth`` best by BM25, ranked anew by the ensemble's score."""
-    rows = candidates(index, terms, min(max(depth, 100), 10_000))
-    score = F.round(ensemble(check_model(model), [F.col(c) for c in FEATURES]), 6)
-    return S.topk(rows.select("qid", "doc_id", score.alias("score")), k)
+    return S.topk(by_trees(S.features(index, terms, min(max(depth, 100), 10_000)), model), k)
 
 
 def rerank_pairs(hits: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable, k: int = 10, depth: int = 50, chars: int = 1200) -> DataFrame:

@@ -208,7 +208,9 @@ def proximity_bonus(index: Index, hits: DataFrame, terms: DataFrame, weight: flo
 
     The closest two are neighbours among the occurrences of query terms, so one window finds them.
     """
-    places = hits.select("qid", "doc_id").join(index.docs.select("doc_id", F.posexplode("terms").alias("pos", "term")), "doc_id").join(terms, ["qid", "term"])
+    # the hits' documents alone are taken apart
+    said = hits.select("qid", "doc_id").join(index.docs.select("doc_id", "terms"), "doc_id")
+    places = said.select("qid", "doc_id", F.posexplode("terms").alias("pos", "term")).join(terms, ["qid", "term"])
     order = Window.partitionBy("qid", "doc_id").orderBy("pos")
     gap = F.when(F.lag("term").over(order) != F.col("term"), F.col("pos") - F.lag("pos").over(order))
     least = places.withColumn("gap", gap).groupBy("qid", "doc_id").agg(F.min("gap").alias("gap"))
@@ -256,7 +258,9 @@ def relevance_feedback(index: Index, terms: DataFrame, k: int = 10, prf_k: int =
 def feedback_score(index: Index, terms: DataFrame, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3) -> DataFrame:
     """(qid, doc_id, score) of all hits of the queries that feedback has widened."""
     first = topk(score(index, terms), prf_k).select("qid", "doc_id")
-    said = index.postings.where("tf > 0").join(first, "doc_id").join(index.vocab.select("term", "idf"), "term").join(terms, ["qid", "term"], "left_anti")
+    # the forward index has these documents' terms; the postings are read for the widened queries alone
+    said = first.join(index.forward, "doc_id").select("qid", "dl", F.explode("terms").alias("t")).select("qid", "dl", "t.term", "t.tf")
+    said = said.join(index.vocab.select("term", "idf"), "term").join(terms, ["qid", "term"], "left_anti")
     weight = F.sum(F.col("idf") * F.col("tf") / F.greatest(F.col("dl"), F.lit(1)))
     weighed = said.where("idf > 0").groupBy("qid", "term").agg(F.round(weight, 9).alias("w"))
     chosen = weighed.withColumn("rank", _rank(F.desc("w"), "term")).where(F.col("rank") <= prf_t)

@@ -49,7 +49,10 @@ class SearchOptions:
     tiers: tuple[tuple[str, bool], ...] = ()
     band: float = 0.10
     filters: tuple[dict, ...] = ()
+    #: Fields that ``search_facets`` counts.
     facets: tuple[str, ...] = ()
+    #: A tree ensemble that ranks the ``window`` best anew by their features.
+    trees: dict | None = None
     dedup: bool = False
     phrase: bool = True
     features: bool = False

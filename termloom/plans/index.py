@@ -7,6 +7,7 @@ import os
 import posixpath
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,15 @@ from termloom.operators import build as B
 from termloom.operators import expand as E
 from termloom.plans.config import BuildConfig
 
-TABLES = ("docs", "vocab", "postings", "bigrams", "neighbours", "spell", "deletes")
+TABLES = ("docs", "vocab", "postings", "bigrams", "neighbours", "spell", "deletes", "forward")
+#: Tables that are written at the same time.
+WRITERS = 4
 
 
 @dataclass
 class Index:
     """docs(doc_id, dl, terms, canonical, ...), vocab(term, df, idf), postings(term, doc_id, tf, w, dl),
-    bigrams(t1, t2, doc_id, idf), neighbours(src, dst, sim), spell(word, df), deletes(del, word, df)."""
+    bigrams(t1, t2, doc_id, idf), neighbours(src, dst, sim), spell(word, df), deletes(del, word, df), forward(doc_id, dl, terms)."""
 
     docs: DataFrame
     vocab: DataFrame
@@ -31,6 +34,7 @@ class Index:
     neighbours: DataFrame
     spell: DataFrame
     deletes: DataFrame
+    forward: DataFrame
     n_docs: int
     avgdl: float
     config: BuildConfig = field(default_factory=BuildConfig)
@@ -39,11 +43,14 @@ class Index:
     def save(self, path: str) -> Index:
         """Writes the tables, then the numbers: a folder without ``meta`` is no index."""
         spark = self.docs.sparkSession
-        for name in TABLES:
+
+        def write(name: str) -> None:
             df = getattr(self, name)
             if name == "postings":  # files and row groups of neighbouring terms: a query reads few of them
                 df = df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+        _together(*[lambda name=name: write(name) for name in TABLES])
         meta = {"n_docs": self.n_docs, "avgdl": self.avgdl, "config": self.config.as_dict(), "stats": self.stats}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return load(spark, path)
@@ -55,9 +62,18 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(**tables, n_docs=meta["n_docs"], avgdl=meta["avgdl"], config=BuildConfig(**meta["config"]), stats=meta["stats"])
 
 
+def _together(*jobs) -> list:
+    """The results of jobs that don't depend on one another, WRITERS at a time."""
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that all executors share, as spark.checkpoint.dir names it; our own only where it is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_folder()
 
 
 _OWN: list[str] = []
@@ -85,22 +101,26 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
         return spark.read.parquet(f"{stage}/{name}")
 
     # one scan of the texts serves the index, the spelling tables and the copies
-    text, usable = F.col("text"), corpus.where("doc_id IS NOT NULL")
+    text, usable = F.col("text"), B.spread(corpus).where("doc_id IS NOT NULL")
     tokens = B.tokeniser(config.tokenizer)
     titles = [tokens(F.col("title")).alias("title_terms")] if "title" in corpus.columns else []
+    fields = [c for c in corpus.columns if c not in ("doc_id", "text", "title", "dl", "terms", "canonical")]
+    own = {c: f"__field_{i}" for i, c in enumerate(fields)}  # whatever they are called, they clash with nothing here
     read = kept(
-        usable.select("doc_id", tokens(B.body(corpus, config)).alias("terms"), *titles, B.spelled(text).alias("spelled"), B.digest(text).alias("digest")), "terms"
+        usable.select(
+            "doc_id", tokens(B.body(corpus, config)).alias("terms"), *titles, B.spelled(text).alias("spelled"), B.digest(text).alias("digest"),
+            *[F.col(f"`{c}`").alias(n) for c, n in own.items()],
+        ), "terms",
+    )
+    n_docs = read.count()
+    stops, later, spell = _together(
+        lambda: [r["term"] for r in B.stopwords(B.document_frequency(read), n_docs, config).collect()],
+        lambda: kept(B.later_copies(read.select("doc_id", "digest")), "later"),
+        lambda: kept(B.count_spell_words(read, config, dictionary), "spell"),
     )
-    tokenised = read.drop("spelled", "digest")
-    n_docs = tokenised.count()
-    df = B.document_frequency(tokenised)
-    stops = kept(B.stopwords(df, n_docs, config).coalesce(1), "stops")
-    words = B.kept(B.positions(tokenised), stops)
-    tf = B.term_counts(words)
-    if "title_terms" in tokenised.columns:
-        tf = B.add_titles(tf, tokenised, stops, config.title_weight)
-    tf = kept(tf, "tf")
-    lengths = B.document_lengths(tokenised, tf)
+    keep = ["doc_id", "terms", "digest", "kept", "counts", "dl", *own.values()]
+    rows = kept(B.counted(read, stops, config).select(*keep), "counted")
+    tf = B.term_counts(rows)
     vocab = kept(B.vocabulary(tf, n_docs, config), "vocab")
     edges = None
     near = spark.createDataFrame([], "src string, dst string, sim double")
@@ -108,19 +128,19 @@ def build(corpus: DataFrame, path: str | None = None, config: BuildConfig = Buil
         near = E.cosine_topk(E.assign_vectors(vocab, vectors), config.k_expand, config.threshold).select("src", "dst", "sim")
         near = edges = kept(near, "near")
     if config.corpus_weight > 0:
-        cooc = kept(E.ppmi_edges(words, config), "cooc")
+        cooc = kept(E.ppmi_edges(rows, config), "cooc")
         edges = cooc if edges is None else edges.unionByName(cooc)
-    lengths = kept(lengths, "lengths")
-    postings = E.expanded(tf, edges).join(lengths, "doc_id").select("term", "doc_id", "tf", "w", "dl")
-    fields = [c for c in corpus.columns if c not in ("doc_id", "text", "title", "dl", "terms", "canonical")]
-    docs = (
-        tokenised.select("doc_id", "terms").join(lengths, "doc_id").join(B.first_of_digest(read.select("doc_id", "digest")), "doc_id")
-        .join(corpus.where("doc_id IS NOT NULL").select("doc_id", *fields), "doc_id")
-    )
-    spell = kept(B.count_spell_words(read, config, dictionary), "spell")
-    total = lengths.agg(F.avg("dl"), F.sum("dl")).first()
-    stats = {"n_docs": n_docs, "n_terms": vocab.count(), "n_stopwords": stops.count(), "nnz": tf.count(), "words": int(total[1] or 0)}
-    index = Index(docs, vocab, postings, B.bigrams(words, n_docs, config), near, spell, B.spell_deletes(spell), n_docs, float(total[0] or 0.0), config, stats)
+    # lengths travel with the counts: no join with the documents
+    lengthy = B.each(rows, F.col("counts"), "c", "doc_id", "dl").select("doc_id", "dl", "c.term", "c.tf")
+    postings = E.expanded(lengthy, edges).select("term", "doc_id", "tf", "w", "dl")
+    gone = later.withColumn("__later", F.lit(True))
+    docs = rows.join(gone, ["doc_id", "digest"], "left").select(
+        "doc_id", "terms", "dl", F.col("__later").isNull().alias("canonical"), *[F.col(n).alias(c) for c, n in own.items()]
+    )
+    total = rows.agg(F.avg("dl"), F.sum("dl"), F.sum(F.size("counts").cast("bigint"))).first()
+    stats = {"n_docs": n_docs, "n_terms": vocab.count(), "n_stopwords": len(stops), "nnz": int(total[2] or 0), "words": int(total[1] or 0)}
+    bigrams, deletes, forward = B.bigrams(rows, n_docs, config), B.spell_deletes(spell), B.forward_index(rows)
+    index = Index(docs, vocab, postings, bigrams, near, spell, deletes, forward, n_docs, float(total[0] or 0.0), config, stats)
     from termloom.streaming.segments import Folder
 
     saved = index.save(path)

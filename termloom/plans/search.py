@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import filters
+from termloom.operators import rerank, spell
 from termloom.operators import search as S
-from termloom.operators import spell
 from termloom.plans.config import SearchOptions
 from termloom.plans.index import Index
 
@@ -28,7 +28,7 @@ def hits_of(index: Index, queries: DataFrame, options: SearchOptions) -> DataFra
     text = F.col("text")
     if options.prf:
         hits = S.feedback_score(index, terms, options.prf_k, options.prf_t, options.prf_alpha)
-    elif options.tiers or options.features or options.mmr_lambda is not None:
+    elif options.tiers or options.features or options.trees or options.mmr_lambda is not None:
         hits = S.score(index, terms)
     else:
         either = F.coalesce(text.contains("|"), F.lit(False))
@@ -79,6 +79,9 @@ def search(index: Index, queries: DataFrame | str, options: SearchOptions = Sear
         return S.diversify(index, terms, options.k, options.mmr_lambda, options.offset, hits)
     if options.features:
         return S.features(index, terms, options.k, options.offset, hits.select("qid", "doc_id"))
+    if options.trees:
+        best = S.features(index, terms, max(options.window, 100), 0, hits.select("qid", "doc_id"))
+        return S.topk(rerank.by_trees(best, options.trees), options.k, options.offset)
     if options.tiers:
         return S.rank_tiers(index, hits, options.tiers, options.k, options.band)
     if options.bigram_weight > 0:
@@ -90,3 +93,9 @@ def search(index: Index, queries: DataFrame | str, options: SearchOptions = Sear
         fields = [c for c in index.docs.columns if c not in ("dl", "terms", "canonical")]
         page = page.join(index.docs.select(*fields), "doc_id")
     return page
+
+
+def search_facets(index: Index, queries: DataFrame | str, options: SearchOptions) -> DataFrame:
+    """(qid, field, value, count, total): over all hits that the same search would page through, not over a page."""
+    hits = hits_of(index, as_queries(index, queries), options)
+    return S.facets(index, hits, options.facets).join(S.totals(hits), "qid")

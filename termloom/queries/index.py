@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from termloom.operators import build as B
@@ -37,17 +39,22 @@ class Parts:
     def __init__(self, s, d, corpus=None, config=BuildConfig()):
         self.config = config
         self.corpus = documents(s, d) if corpus is None else corpus
-        self.tokenised = B.terms(self.corpus, config)
+        self.tokenised = B.terms(B.spread(self.corpus), config)
         self.n = self.corpus.where("doc_id IS NOT NULL").count()
-        self.df = B.document_frequency(self.tokenised)
-        self.stops = B.stopwords(self.df, self.n, config)
-        self.words = B.kept(B.positions(self.tokenised), self.stops)
-        self.tf = B.term_counts(self.words)
+        self.stops = B.stopwords(B.document_frequency(self.tokenised), self.n, config)
+
+    @functools.cached_property
+    def docs(self):
+        return B.counted(self.tokenised, [r["term"] for r in self.stops.collect()], self.config)
+
+    @property
+    def tf(self):
+        return B.term_counts(self.docs)
 
 
 @query("doc_freq", Q.tables() + " SELECT term, df FROM df0")
 def doc_freq(s, d):
-    return B.document_frequency(B.terms(documents(s, d)))
+    return B.document_frequency(B.terms(B.spread(documents(s, d))))
 
 
 @query("stopwords", Q.tables() + " SELECT term FROM stop")
@@ -57,7 +64,7 @@ def stopwords(s, d):
 
 @query("positions", Q.tables() + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, term FROM tok")
 def positions(s, d):
-    return B.positions(B.terms(documents(s, d)))
+    return B.positions(B.terms(B.spread(documents(s, d))))
 
 
 @query("term_counts", Q.tables() + " SELECT doc_id, term, tf FROM tf")
@@ -73,8 +80,7 @@ def idf_table(s, d):
 
 @query("doc_lengths", Q.tables() + " SELECT doc_id, dl, round(avgdl, 6) AS avgdl FROM dl, av")
 def doc_lengths(s, d):
-    p = Parts(s, d)
-    dl = B.document_lengths(p.tokenised, p.tf)
+    dl = B.document_lengths(Parts(s, d).docs)
     return dl.crossJoin(F.broadcast(dl.agg(F.round(F.avg("dl"), 6).alias("avgdl"))))
 
 
@@ -95,8 +101,7 @@ SELECT doc_id, term, CAST(coalesce(tf, 0) + coalesce(x, 0) AS BIGINT) AS tf FROM
 )
 def title_weighted_tf(s, d):
     corpus = part(s, d).select(C("p_partkey").alias("doc_id"), C("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("text"))
-    p = Parts(s, d, corpus)
-    return B.add_titles(p.tf, p.tokenised, p.stops, p.config.title_weight)
+    return Parts(s, d, corpus).tf
 
 
 BIGRAMS = f""", nx AS (SELECT doc_id, term AS t1, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM kept),
@@ -108,13 +113,13 @@ bg AS (SELECT t1, t2, doc_id, {Q.idf()} AS idf FROM pr JOIN bd USING (t1, t2), n
 @query("bigram_index", Q.tables() + BIGRAMS + " SELECT t1, t2, doc_id, round(idf, 6) AS idf FROM bg")
 def bigram_index(s, d):
     p = Parts(s, d)
-    return B.bigrams(p.words, p.n).select("t1", "t2", "doc_id", six("idf"))
+    return B.bigrams(p.docs, p.n).select("t1", "t2", "doc_id", six("idf"))
 
 
 @query("forward_index", Q.tables() + " SELECT doc_id, string_agg(term || ':' || tf, ' ' ORDER BY term) AS terms FROM tf GROUP BY doc_id")
 def forward_index(s, d):
     line = F.transform("terms", lambda x: F.concat(x["term"], F.lit(":"), x["tf"].cast("string")))
-    return B.forward_index(Parts(s, d).tf).select("doc_id", F.array_join(line, " ").alias("terms"))
+    return B.forward_index(Parts(s, d).docs).select("doc_id", F.array_join(line, " ").alias("terms"))
 
 
 @query(
@@ -197,7 +202,7 @@ pe AS (SELECT src, dst, ppmi / (SELECT max(ppmi) FROM po) AS sim FROM (SELECT *,
 
 @query("ppmi_edges", Q.tables() + PPMI + " SELECT src, dst, round(sim, 6) AS sim FROM pe")
 def ppmi_edges(s, d):
-    return E.ppmi_edges(Parts(s, d).words).select("src", "dst", six("sim"))
+    return E.ppmi_edges(Parts(s, d).docs).select("src", "dst", six("sim"))
 
 
 @query("expanded_postings", Q.tables() + Q.edges() + Q.EXPANDED + " SELECT term, doc_id, tf, round(w, 6) AS w, dl FROM xpost")

@@ -163,8 +163,10 @@ def mmr(s, d):
     return S.diversify(exact(s, d), terms(s, d))
 
 
-_EXPLAIN = f""", b AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 5)
-SELECT qid, rank, doc_id, score, term, round(idf, 6) AS idf, w AS tf, round(idf * {Q.stf("w")}, 6) AS contribution FROM b JOIN qt USING (qid) JOIN vocab USING (term) JOIN post USING (term, doc_id), av"""
+_EXPLAIN = f""", b AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 5),
+bt AS MATERIALIZED (SELECT DISTINCT doc_id FROM b), bp AS MATERIALIZED (SELECT post.* FROM post JOIN bt USING (doc_id)), qm AS MATERIALIZED (SELECT * FROM qt),
+bq AS MATERIALIZED (SELECT b.*, bp.term, bp.w, bp.dl FROM b JOIN bp USING (doc_id))
+SELECT qid, rank, doc_id, score, term, round(idf, 6) AS idf, w AS tf, round(idf * {Q.stf("w")}, 6) AS contribution FROM bq JOIN qm USING (qid, term) JOIN vocab USING (term), av"""
 
 
 @query("explain", PLAIN + _EXPLAIN)
@@ -257,6 +259,71 @@ def page_2(s, d):
     return P.search(exact(s, d), asked(s, d), options).select(*HIT, "lang", "source", "n_chars")
 
 
+def _allowed(extra: str = "true", words: bool = True) -> str:
+    """CTE al: the hits of sc that a filter and the excluded words leave."""
+    return f""", xt AS (SELECT DISTINCT qid, unnest({Q.toks(Q.excluded("text"))}) AS term FROM q),
+gone AS MATERIALIZED (SELECT DISTINCT qid, doc_id FROM xt JOIN post USING (term)),
+fine AS MATERIALIZED (SELECT doc_id FROM documents WHERE {extra})"""
+
+
+_KEPT = "SELECT s.* FROM {0} s SEMI JOIN fine USING (doc_id) ANTI JOIN gone USING (qid, doc_id)"
+LANG = ({"field": "lang", "eq": "en"},)
+
+
+@query("search_prf_filtered", Q.tables() + Q.asked(OPERATOR_TEXT) + Q.scored() + _PRF + _allowed("lang = 'en'") + ", s3 AS (" + _KEPT.format("s2") + ")" + Q.top(10, "s3", 5))
+def search_prf_filtered(s, d):
+    """Feedback, a filter, an excluded word and a second page together."""
+    return P.search(exact(s, d), asked(s, d, dashed()), SearchOptions(prf=True, filters=LANG, offset=5)).select(*HIT)
+
+
+@query("search_mmr_exclude", Q.tables() + Q.asked(OPERATOR_TEXT) + Q.scored() + _allowed("lang = 'en'") + ", s3 AS (" + _KEPT.format("sc") + ")" + Q.top(10, "s3", 3))
+def search_mmr_exclude(s, d):
+    """Diversity at lambda 1, where the choice is by score alone, with a filter, an excluded word and an offset."""
+    return P.search(exact(s, d), asked(s, d, dashed()), SearchOptions(mmr_lambda=1.0, filters=LANG, offset=3)).select(*HIT)
+
+
+@query(
+    "search_features_page",
+    Q.tables() + Q.edges() + Q.EXPANDED + Q.asked(OPERATOR_TEXT) + _FEATURES + _allowed("lang = 'en'") + ", s3 AS (" + _KEPT.format("sc") + ")"
+    + Q.top(10, "s3", 10, "qid, rank, doc_id, score, exact, semantic, coverage, doc_len"),
+)
+def search_features_page(s, d):
+    return P.search(near(s, d), asked(s, d, dashed()), SearchOptions(features=True, filters=LANG, offset=10))
+
+
+_EITHER = "CASE WHEN item_id % 2 = 0 THEN text ELSE regexp_replace(text, ' ', '|', 'g') END"
+
+
+@query(
+    "search_mixed_or",
+    WIDE.replace(Q.asked(), Q.asked(_EITHER)) + f""", part AS (SELECT qid, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1) AS i, contains(text, '|') AS either FROM q),
+wt AS (SELECT DISTINCT qid, either, CASE WHEN contains(word, '|') THEN i::VARCHAR ELSE i || ' ' || term END AS grp, term FROM (SELECT qid, either, i, word, unnest({Q.toks("replace(word, '|', ' ')")}) AS term FROM part)),
+pl AS (SELECT qid, doc_id, sum(idf * (0.5 * {Q.stf("w")} + 0.5 * {Q.stf("tf")})) AS s FROM (SELECT DISTINCT qid, term FROM wt WHERE NOT either) JOIN vocab USING (term) JOIN xpost USING (term), av GROUP BY ALL),
+gr AS (SELECT qid, doc_id, grp, max(idf * {Q.stf("w")}) AS s FROM wt JOIN vocab USING (term) JOIN xpost USING (term), av WHERE either GROUP BY ALL),
+sc AS (SELECT qid, doc_id, round(sum(s), 6) AS score FROM (SELECT qid, doc_id, s FROM pl UNION ALL SELECT qid, doc_id, s FROM gr) GROUP BY ALL HAVING sum(s) > 0)""" + Q.top(10),
+)
+def search_mixed_or(s, d):
+    """Queries with alternatives beside queries without, each by its own rule."""
+    text = F.when(C("item_id") % 2 == 0, C("text")).otherwise(F.regexp_replace("text", " ", "|"))
+    return P.search(near(s, d), asked(s, d, text), SearchOptions(bigram_weight=0.0, payload=False)).select(*HIT)
+
+
+@query(
+    "search_facets",
+    Q.tables() + Q.asked(OPERATOR_TEXT) + Q.scored() + _allowed("n_chars >= 500") + ", s3 AS (" + _KEPT.format("sc") + """)
+SELECT qid, 'source' AS field, source AS value, count(*) AS "count", any_value(total) AS total FROM s3 JOIN documents USING (doc_id) JOIN (SELECT qid, count(*) AS total FROM s3 GROUP BY qid) USING (qid) GROUP BY qid, source""",
+)
+def search_facets(s, d):
+    return P.search_facets(exact(s, d), asked(s, d, dashed()), SearchOptions(alpha=1.0, facets=("source",), filters=({"field": "n_chars", "gte": 500},)))
+
+
+@query("search_reranked", Q.tables() + Q.edges() + Q.EXPANDED + Q.asked(OPERATOR_TEXT) + _FEATURES + _allowed("lang = 'en'") + ", s3 AS (" + _KEPT.format("sc") + ")" + """, ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s3) WHERE r <= 100),
+s4 AS (SELECT qid, doc_id, (CASE WHEN score <= 20 THEN -0.5 WHEN doc_len <= 300 THEN 0.75 ELSE 0.25 END + CASE WHEN 1.0::DOUBLE / r <= 0.1 THEN 0 ELSE 0.125 END)::DOUBLE AS score FROM ft)""" + Q.top(10, "s4", 2))
+def search_reranked(s, d):
+    """The tree ensemble as an option of the search: over what filters and exclusion leave."""
+    return P.search(near(s, d), asked(s, d, dashed()), SearchOptions(trees=MODEL, filters=LANG, offset=2, payload=False)).select(*HIT)
+
+
 @query("hit_totals", PLAIN + " SELECT qid, count(*) AS total FROM sc GROUP BY qid")
 def hit_totals(s, d):
     return S.totals(S.score(exact(s, d), terms(s, d)))
@@ -281,7 +348,14 @@ def spell_correct(s, d):
     return spell.correct_words(words, i.spell, i.deletes)
 
 
-@query("spell_correct_queries")
+@query(
+    "spell_correct_queries",
+    "WITH" + SPELL + _CORRECT.replace("SELECT qw.word, coalesce(corrected, qw.word) AS corrected FROM", ", fx AS (SELECT qw.word, coalesce(corrected, qw.word) AS corrected FROM")
+    + f""")
+SELECT item_id AS qid, coalesce(string_agg(corrected, ' ' ORDER BY pos), '') AS corrected
+FROM (SELECT item_id, unnest(w) AS typed, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, {Q.toks("text")} AS w FROM benchmark WHERE item_id IS NOT NULL)) t
+LEFT JOIN fx ON word = substr(typed, 1, 1) || substr(typed, 3) AND word <> '' GROUP BY item_id""",
+)
 def spell_correct_queries(s, d):
     i = exact(s, d)
     return spell.correct_queries(asked(s, d, _typo()), i.spell, i.deletes)
@@ -329,14 +403,25 @@ def rerank_candidates(s, d):
 
 def overlap(queries, texts):
     """A stand-in for a cross-encoder: share of the query's words that the text holds."""
-    out = []
-    for q, t in zip(queries, texts, strict=True):
-        a, b = set(q.lower().split()), set(t.lower().split())
-        out.append(len(a & b) / max(len(a), 1))
-    return out
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = [pc.list_parent_indices, pc.list_flatten]
+    (qi, qw), (ti, tw) = ([f(pc.utf8_split_whitespace(pc.utf8_lower(pa.array(x, pa.string())))) for f in lists] for x in (queries, texts))
+    asked = pa.table({"i": qi, "w": qw}).filter(pc.not_equal(qw, "")).group_by(["i", "w"]).aggregate([])
+    held = pa.table({"i": ti, "w": tw}).group_by(["i", "w"]).aggregate([])
+    count = lambda t: dict(zip(*t.group_by("i").aggregate([("w", "count")]).to_pydict().values(), strict=True))
+    n, both = count(asked), count(asked.join(held, ["i", "w"], join_type="left semi"))
+    return [both.get(i, 0) / max(n.get(i, 0), 1) for i in range(len(queries))]
+
+
+_SPLIT = lambda x: f"list_filter(string_split_regex(lower({x}), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
+_OVERLAP = f""", cd AS MATERIALIZED (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 50),
+ov AS (SELECT qid, doc_id, list_distinct({_SPLIT("q.text")}) AS a, {_SPLIT("substr(coalesce(documents.text, ''), 1, 1200)")} AS b FROM cd JOIN q USING (qid) JOIN documents USING (doc_id)),
+s2 AS (SELECT qid, doc_id, round(len(list_filter(a, lambda w: list_contains(b, w)))::DOUBLE / greatest(len(a), 1), 6) AS score FROM ov)"""
 
 
-@query("cross_encoder")
+@query("cross_encoder", PLAIN + _OVERLAP + Q.top(10, "s2"))
 def cross_encoder(s, d):
     i, q = exact(s, d), asked(s, d)
     return R.rerank_pairs(S.score(i, S.query_terms(q)), q, documents(s, d), overlap).select(*HIT)

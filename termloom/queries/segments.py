@@ -5,6 +5,7 @@ Segment 0 holds all documents, segment 1 new versions of those that have a label
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 
@@ -41,15 +42,26 @@ def source(s, d):
     return old.unionByName(new.select(F.lit(1).alias("seg"), "doc_id", F.concat(F.lit("revised edition "), "text").alias("text")))
 
 
+_TABLES = {}
+
+
 def tables(s, d):
-    """postings (seg, term, doc_id, tf, w, dl) and docs (seg, doc_id, dl) of both segments."""
+    """postings (seg, term, doc_id, tf, w, dl) and docs (seg, doc_id, dl) of both segments, written once in a session."""
+    key = (s.sparkContext.applicationId, os.path.realpath(d))
+    if key not in _TABLES:
+        path = posixpath.join(I.work_folder(s), f"two-segments-{uuid.uuid4().hex}")
+        for name, df in zip(("postings", "docs"), _tables(s, d), strict=True):
+            df.write.parquet(f"{path}/{name}")
+        _TABLES[key] = tuple(s.read.parquet(f"{path}/{name}") for name in ("postings", "docs"))
+    return _TABLES[key]
+
+
+def _tables(s, d):
     each = []
     for seg in (0, 1):
-        t = B.terms(source(s, d).where(C("seg") == seg), CONFIG)
-        tf = B.term_counts(B.positions(t))
-        dl = B.document_lengths(t, tf)
-        posts = tf.join(dl, "doc_id").select(F.lit(seg).alias("seg"), "term", "doc_id", "tf", C("tf").cast("double").alias("w"), "dl")
-        each.append((posts, dl.select(F.lit(seg).alias("seg"), "doc_id", "dl")))
+        t = B.counted(B.terms(B.spread(source(s, d).where(C("seg") == seg)), CONFIG), [], CONFIG)
+        posts = B.each(t, C("counts"), "c", "doc_id", "dl").select(F.lit(seg).alias("seg"), "c.term", "doc_id", "c.tf", C("c.tf").cast("double").alias("w"), "dl")
+        each.append((posts, t.select(F.lit(seg).alias("seg"), "doc_id", "dl")))
     return each[0][0].unionByName(each[1][0]), each[0][1].unionByName(each[1][1])
 
 

@@ -161,8 +161,7 @@ def filter_json(s, d):
 
 @query("dictionary_words", r"""SELECT DISTINCT lower(trim(w)) AS word FROM (SELECT unnest(string_split_regex(p_name, '\s+')) AS w FROM part) WHERE regexp_matches(lower(trim(w)), '^[a-z0-9''-]+$')""")
 def dictionary_words(s, d):
-    w = part(s, d).select(F.explode(F.split("p_name", r"\s+")).alias("w")).select(F.lower(F.trim("w")).alias("word"))
-    return w.where(C("word").rlike("^[a-z0-9'-]+$")).distinct()
+    return readers.dictionary(part(s, d).select(F.explode(F.split("p_name", r"\s+")).alias("value")))
 
 
 @query("query_split", "SELECT doc_id AS qid, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS held FROM documents")

@@ -67,7 +67,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word): lower-cased words of ASCII letters, digits, ``-`` and ``'``."""
-    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
+    return dictionary(spark.read.text(path))
+
+
+def dictionary(lines: DataFrame) -> DataFrame:
+    """(word) of a table of lines (value), each word once."""
+    words = lines.select(F.lower(F.trim("value")).alias("word"))
     return words.where(F.col("word").rlike("^[a-z0-9'-]+$")).distinct()
 
 
@@ -82,8 +87,11 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, embedding) of a Parquet table, or of a .safetensors file's ``embeddings`` or ``0`` (F32, F16, I8)."""
+def read_vectors(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(vec_id, embedding) of a Parquet table, or of a .safetensors file's ``embeddings`` or ``0`` (F32, F16, I8).
+
+    ``rows``, if given, is the size of the vocabulary, which the file must match.
+    """
     if not path.endswith(".safetensors"):
         return spark.read.parquet(path).select("vec_id", "embedding")
     with open(path, "rb") as f:
@@ -94,6 +102,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("the file has no two-dimensional table of embeddings")
         kind = {"F32": np.float32, "F16": np.float16, "I8": np.int8}[head[name]["dtype"]]
         lo, hi = head[name]["data_offsets"]
+        if rows is not None and head[name]["shape"][0] != rows:
+            raise ValueError(f"the file has {head[name]['shape'][0]} embeddings for a vocabulary of {rows}")
         f.seek(8 + n + lo)
         table = np.frombuffer(f.read(hi - lo), kind).reshape(head[name]["shape"]).astype(np.float32)
     import pyarrow as pa

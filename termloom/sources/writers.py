@@ -22,7 +22,7 @@ def _atomic(path: str, text: str) -> None:
 
 def snapshot(root: str, target: str) -> str:
     """A copy of an index folder as it stands; the target must not exist."""
-    shutil.copytree(root, target, ignore=shutil.ignore_patterns("*.tmp"))
+    shutil.copytree(root, target, ignore=shutil.ignore_patterns("*.tmp", "claim-*"))
     return target
 
 
@@ -39,7 +39,7 @@ def replicate(root: str, target: str) -> dict:
             copied += name in names
     _atomic(os.path.join(target, "manifest.json"), json.dumps(manifest))
     keep = {*names, manifest.get("tombstones"), "manifest.json"}
-    gone = [x for x in os.listdir(target) if x not in keep]
+    gone = [x for x in os.listdir(target) if x not in keep and not x.startswith("claim-")]
     for x in gone:
         path = os.path.join(target, x)
         shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)

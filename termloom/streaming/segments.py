@@ -9,6 +9,7 @@ at most folders that ``recover`` removes, and a batch that is delivered again is
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -53,6 +54,20 @@ class Folder:
         options[0] = self.jvm.java.lang.Enum.valueOf(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
         context.rename(tmp, self.path(name), options)
 
+    def claim(self, name: str) -> bool:
+        """Makes the file; False where it is there already, so of several that try one succeeds."""
+        try:
+            self.fs.create(self.path(name), False).close()
+            return True
+        except Exception:
+            if self.fs.exists(self.path(name)):
+                return False
+            raise
+
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder changed."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def names(self) -> list[str]:
         return [x.getPath().getName() for x in self.fs.listStatus(self.path())] if self.fs.exists(self.path()) else []
 
@@ -118,9 +133,15 @@ class SegmentedIndex:
         self.config = BuildConfig(**self.manifest["config"])
 
     def _commit(self, **changes) -> None:
-        new = {**self.manifest, **changes, "generation": self.manifest["generation"] + 1}
+        """Swaps the manifest.  Only one writer may follow a generation: any other fails and changes nothing."""
+        generation = self.manifest["generation"] + 1
+        now = json.loads(self.folder.read("manifest.json"))["generation"] if self.folder.exists("manifest.json") else 0
+        if now != generation - 1 or not self.folder.claim(f"claim-{generation}"):
+            raise RuntimeError(f"another writer is ahead of generation {generation}; open the index anew and repeat")
+        new = {**self.manifest, **changes, "generation": generation}
         self.folder.write("manifest.json", json.dumps(new))
         self.manifest = new
+        self.folder.remove(f"claim-{generation - 1}")  # the newest stays, and keeps a late writer out
 
     def tombstones(self, like: str = "string") -> DataFrame:
         name = self.manifest["tombstones"]
@@ -194,13 +215,22 @@ class SegmentedIndex:
         segments = []
         if not rows.isEmpty():
             segments = [self._write(rows)]
+        old = [s["dir"] for s in self.manifest["segments"]] + [self.manifest["tombstones"]]
         self._commit(segments=segments, tombstones=None, next=self.manifest["next"] + len(segments))
-        self.recover()
+        for name in filter(None, old):
+            self.folder.remove(name)
+
+    def migrate(self, path: str) -> None:
+        """A single index folder, with its ``source`` (doc_id, text, ...), becomes a segment as if it were added."""
+        self.add(self.spark.read.parquet(f"{path}/source"))
+
+    def recover(self, older_than: float = 86_400) -> list[str]:
+        """Removes what the manifest doesn't name and no running writer may be about to name: by its age in seconds.
 
-    def recover(self) -> list[str]:
-        """Removes folders that the manifest doesn't name."""
-        named = {s["dir"] for s in self.manifest["segments"]} | {self.manifest["tombstones"], "manifest.json"}
-        gone = [x for x in self.folder.names() if x not in named and not x.startswith(".")]
+        A claim on the next generation whose writer has died goes likewise, so that others may write again.
+        """
+        named = {s["dir"] for s in self.manifest["segments"]} | {self.manifest["tombstones"], "manifest.json", f"claim-{self.manifest['generation']}"}
+        gone = [x for x in self.folder.names() if x not in named and not x.startswith(".") and self.folder.age(x) >= older_than]
         for x in gone:
             self.folder.remove(x)
         return gone
