@@ -50,7 +50,8 @@ def test_odd_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
-    assert docs.count() <= 5
+    # null and empty texts go, of the equal rows one stays, the row without an id stays
+    assert sorted(repr(r["doc_id"]) for r in docs.collect()) == ["3", "None"]
 
 
 @pytest.mark.parametrize("name", [n for n in queries.queries()])
