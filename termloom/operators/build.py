@@ -135,8 +135,9 @@ def bigrams(docs: DataFrame, n_docs: int, config: BuildConfig = BuildConfig()) -
 
 
 def forward_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, dl, terms): each counted document's (term, tf), sorted."""
-    return docs.select("doc_id", "dl", F.col("counts").alias("terms"))
+    """(doc_id, dl, terms): each counted document's (term, tf), sorted; one without a counted word has no row."""
+    some = docs.select("doc_id", "dl", F.when(F.size("counts") > 0, F.array("counts")).alias("some"))
+    return each(some, F.col("some"), "terms", "doc_id", "dl")
 
 
 def block_max(postings: DataFrame, vocab: DataFrame, avgdl: float, config: BuildConfig = BuildConfig(), size: int = 128) -> DataFrame:

@@ -35,3 +35,15 @@ def test_query(spark, sf_dir, con, name):
     want = con.sql(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_forward_index_of_odd_texts(spark, tmp_path):
+    """Documents without a word, or with stopwords alone, have no row in SQL."""
+    texts = ["the cat sat", "the mat the mat", "", None, "?!", "the", "the The", *[f"the word{i}" for i in range(9)]]
+    odd = [*enumerate(texts), (None, "the lost cat")]
+    spark.createDataFrame(odd, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.queries()["forward_index"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 11
+    assert rows(got) == rows(c.sql(registry.oracle_sql()["forward_index"]).df())
