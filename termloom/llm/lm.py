@@ -35,6 +35,7 @@ from termloom.llm._state import cut, remove, shared_folder
 from termloom.llm._text import buffers, mix, pieces, words
 
 REACH, DIM, CLUSTERS, SIZE = 2, 32, 32, 32
+assert CLUSTERS == SIZE  # both softmaxes are rows of one array
 SYMBOLS, SHARED = CLUSTERS * SIZE, 256
 ROUNDS, RATE, BATCH = 4, 0.1, 4096
 _SLOTS = [o for o in range(-REACH, REACH + 1) if o]
@@ -51,6 +52,8 @@ STEPS = 2048
 FLUSH, FLUSH_DOCS, BUCKET, OVERFULL = 1 << 20, 50_000, 1 << 20, 1 << 23
 #: Numbers of the parameter vector in a row, and replicas that are averaged at once.
 CHUNK, FAN = 8192, 256
+_CELLS = np.arange((SYMBOLS + 1) * DIM).reshape(SYMBOLS + 1, DIM)
+_kept: dict[str, np.ndarray] = {}
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -104,61 +107,85 @@ def contexts(sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _buffer(name: str, rows: int, columns: int, kind=np.float32) -> np.ndarray:
+    """Memory of this process that is used again and again: fresh pages cost more than what is computed in them."""
+    have = _kept.get(name)
+    if have is None or len(have) < rows:
+        have = _kept[name] = np.empty((rows, columns), kind)
+    return have[:rows]
+
+
 def _hidden(p, ctx):
-    h = p["emb"][0].take(ctx[0], axis=0)
-    h += p["hid"]
-    for i in range(1, len(ctx)):
-        h += p["emb"][i].take(ctx[i], axis=0)
+    h, more = (_buffer(name, ctx.shape[1], DIM) for name in ("hidden", "slot"))
+    for i in range(len(ctx)):
+        p["emb"][i].take(ctx[i], axis=0, out=more if i else h, mode="clip")  # any other mode copies
+        h += more if i else p["hid"]
     return np.tanh(h, out=h)
 
 
-def _softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+def _weights(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster the weights of all clusters and, beside them, of its own symbols; and the biases."""
+    w, b = _buffer("weights", CLUSTERS * DIM, CLUSTERS + SIZE).reshape(CLUSTERS, DIM, -1), _buffer("biases", CLUSTERS, CLUSTERS + SIZE)
+    w[:, :, :CLUSTERS], w[:, :, CLUSTERS:] = p["wc"], p["ww"]
+    b[:, :CLUSTERS], b[:, CLUSTERS:] = p["bc"], p["bw"]
+    return w, b
+
+
+def _by_cluster(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(order by cluster, the clusters that occur and where they are in it)."""
+    cluster = (y // SIZE).astype(np.int16)
+    order = np.argsort(cluster, kind="stable")
+    edge = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1)).tolist()
+    return order, [(c, slice(edge[c], edge[c + 1])) for c in range(CLUSTERS) if edge[c] < edge[c + 1]]
+
+
+def _scores(h: np.ndarray, w: np.ndarray, b: np.ndarray, live: list) -> np.ndarray:
+    """(words, CLUSTERS + SIZE): of each cluster, and of each symbol of the word's own; words by cluster."""
+    x = _buffer("scores", len(h), CLUSTERS + SIZE)
+    for c, s in live:
+        np.matmul(h[s], w[c], out=x[s])
+        x[s] += b[c]
     return x
 
 
-def _log_sum(x):
-    """log of the sum of exp along each row; x is overwritten."""
-    top = x.max(axis=1)
-    x -= top[:, None]
+def _mine(y: np.ndarray) -> np.ndarray:
+    """Where the scores of each word's cluster and symbol are in the flat scores."""
+    at = np.empty((len(y), 2), np.int64)
+    at[:, 0], at[:, 1] = y // SIZE, CLUSTERS + y % SIZE
+    at += np.arange(0, len(y) * (CLUSTERS + SIZE), CLUSTERS + SIZE)[:, None]
+    return at
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | np.float32]:
+    """(sum of exp along each row, what was subtracted first); x becomes exp of what is left."""
+    top = x.max()
+    if not top - x.min() < 60:  # one for all rows would leave some of them nothing
+        top = x.max(axis=1, keepdims=True)
+    x -= top
     np.exp(x, out=x)
-    return np.log(x @ np.ones(x.shape[1], np.float32)) + top
+    return x @ np.ones(x.shape[1], np.float32), np.ravel(top)
 
 
 def log_probs(p: dict, ctx: np.ndarray, sym: np.ndarray, block: int = 4096) -> np.ndarray:
     """log p(word | both sides) of each word."""
     out = np.empty(len(sym), np.float32)
+    w, b = _weights(p)
     for at in range(0, len(sym), block):
-        y = sym[at : at + block]
-        h = _hidden(p, ctx[:, at : at + block])
-        cluster, inner = y // SIZE, y % SIZE
-        r = np.arange(len(y))
-        x = h @ p["wc"]
-        x += p["bc"]
-        score = x[r, cluster]
-        score -= _log_sum(x)
-        order = np.argsort(cluster, kind="stable")
-        edge = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        h = h[order]
-        within = np.empty((len(y), SIZE), np.float32)
-        for c in range(CLUSTERS):
-            s = slice(edge[c], edge[c + 1])
-            np.matmul(h[s], p["ww"][c], out=within[s])
-            within[s] += p["bw"][c]
-        mine = within[r, inner[order]]
-        score[order] += mine - _log_sum(within)
-        out[at : at + block] = score
+        order, live = _by_cluster(sym[at : at + block])
+        y = sym[at : at + block][order]
+        x = _scores(_hidden(p, ctx[:, at : at + block].take(order, axis=1)), w, b, live)
+        mine = x.ravel().take(_mine(y))
+        total, top = _exp(x.reshape(-1, SIZE))
+        out[at + order] = (mine - (np.log(total) + top).reshape(-1, 2)).sum(axis=1)
     return out
 
 
 def _add_rows(table: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    head = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    many = np.sqrt(np.diff(np.append(head, len(r)))).astype(np.float32)
-    table[r[head]] += np.add.reduceat(change[order], head, axis=0) / many[:, None]
+    """Adds to each row of the table its summed changes over the square root of their number."""
+    at = _CELLS.take(rows, axis=0, out=_buffer("cells", len(rows), table.shape[1], np.int64), mode="clip")
+    sums = np.bincount(at.ravel(), weights=change.ravel(), minlength=table.size).reshape(table.shape)
+    sums /= np.sqrt(np.maximum(np.bincount(rows, minlength=len(table)), 1))[:, None]
+    table += sums
 
 
 def step(p: dict, ctx: np.ndarray, y: np.ndarray, rate: float) -> None:
@@ -168,40 +195,36 @@ def step(p: dict, ctx: np.ndarray, y: np.ndarray, rate: float) -> None:
     it, so rare rows learn and frequent ones don't overshoot.
     """
     n = len(y)
+    order, live = _by_cluster(y)
+    ctx, y = ctx.take(order, axis=1), y[order]
+    w, b = _weights(p)
     h = _hidden(p, ctx)
-    cluster, inner = (y // SIZE).astype(np.int16), y % SIZE
-    r = np.arange(n)
-    g = _softmax(h @ p["wc"] + p["bc"])
-    g[r, cluster] -= 1
-    order = np.argsort(cluster, kind="stable")
-    edge = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-    scale = np.float32(rate / np.sqrt(n))
-    hs = h[order]
-    gw = np.empty((n, SIZE), np.float32)
-    own = np.empty((n, DIM), np.float32)
-    live = np.flatnonzero(np.diff(edge))
-    for c in live:
-        s = slice(edge[c], edge[c + 1])
-        np.matmul(hs[s], p["ww"][c], out=gw[s])
-        gw[s] += p["bw"][c]
-    gw = _softmax(gw)
-    gw[r, inner[order]] -= 1
-    for c in live:
-        s = slice(edge[c], edge[c + 1])
-        w = p["ww"][c]
-        np.matmul(gw[s], w.T, out=own[s])
-        w -= np.float32(rate / np.sqrt(edge[c + 1] - edge[c])) * (hs[s].T @ gw[s])
-    many = np.sqrt(np.diff(edge)[live]).astype(np.float32)
-    p["bw"][live] -= np.float32(0.1 * rate) * np.add.reduceat(gw, edge[live], axis=0) / many[:, None]
-    back = g @ p["wc"].T
-    back[order] += own
-    p["wc"] -= scale * (h.T @ g)
-    p["bc"] -= scale * 0.1 * g.sum(axis=0)
-    back *= 1 - h * h
+    g = _scores(h, w, b, live)
+    rows = g.reshape(-1, SIZE)
+    rows *= 1 / _exp(rows)[0][:, None]
+    g.ravel()[_mine(y)] -= 1
+    back, ones = _buffer("back", n, DIM), np.ones(n, np.float32)
+    dw, db = _buffer("dw", CLUSTERS * DIM, CLUSTERS + SIZE).reshape(w.shape), _buffer("db", CLUSTERS, CLUSTERS + SIZE)
+    many = np.array([s.stop - s.start for _, s in live])
+    for i, (c, s) in enumerate(live):
+        np.matmul(g[s], w[c].T, out=back[s])
+        np.matmul(h[s].T, g[s], out=dw[i])
+        np.matmul(ones[s], g[s], out=db[i])
+    dw, db, own = dw[: len(live)], db[: len(live)], (rate / np.sqrt(many)).astype(np.float32)
+    scale, live = np.float32(rate / math.sqrt(n)), [c for c, _ in live]
+    p["ww"][live] -= own[:, None, None] * dw[:, :, CLUSTERS:]
+    p["bw"][live] -= np.float32(0.1) * own[:, None] * db[:, CLUSTERS:]
+    p["wc"] -= scale * dw[:, :, :CLUSTERS].sum(axis=0)
+    p["bc"] -= np.float32(0.1) * scale * db[:, :CLUSTERS].sum(axis=0)
+    h *= h
+    np.subtract(1, h, out=h)
+    back *= h
     back *= np.float32(-rate)
-    p["hid"] += back.sum(axis=0) / np.float32(np.sqrt(n))
+    p["hid"] += (ones @ back) / np.float32(math.sqrt(n))
+    change = _buffer("change", n, DIM, np.float64)
+    change[:] = back
     for i in range(len(ctx)):
-        _add_rows(p["emb"][i], ctx[i], back)
+        _add_rows(p["emb"][i], ctx[i], change)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -211,18 +234,30 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _count(batches):
     """Counts of the word hashes, merged over the task's pieces up to a bound."""
     key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def merge():
+        nonlocal key, n, held, size
+        more, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        at = np.searchsorted(key, more)
+        there = at < len(key)
+        there[there] = key[at[there]] == more[there]
+        n[at[there]] += c[there]
+        key, n = (np.insert(x, at[~there], y[~there]) for x, y in ((key, more), (n, c)))
+        held, size = [], 0
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
 
     for piece in pieces(batches):
-        h, c = np.unique(words(*buffers(piece.column(1)))[3], return_counts=True)
-        both = np.concatenate([key, h])
-        key, at = np.unique(both, return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([n, c]), minlength=len(key)).astype(np.int64)
-        if len(key) > 1 << 20:
-            yield rows()
-            key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held.append(words(*buffers(piece.column(1)))[3])
+        size += len(held[-1])
+        if size > 1 << 19:
+            merge()
+            if len(key) > 1 << 20:
+                yield rows()
+                key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    merge()
     yield rows()
 
 
@@ -329,7 +364,7 @@ def learn(p: dict, batches, turn: int, rounds: int, rate: float = RATE, before:
             rows = rows[np.argsort(mix(rows.astype(np.uint64), 2))]  # neighbours apart
             for i in range(0, len(rows), BATCH):
                 r = rows[i : i + BATCH]
-                step(p, ctx[:, r], sym[r], rate / (1 + ((before + seen) / 400_000)) ** 0.5)
+                step(p, ctx.take(r, axis=1), sym[r], rate / (1 + ((before + seen) / 400_000)) ** 0.5)
                 seen += len(r)
     return seen
 

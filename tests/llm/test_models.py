@@ -125,6 +125,72 @@ def test_probabilities_add_up():
         assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def _plain_step(p, ctx, y, rate):
+    """The same step word by word; (parameters after it, log p of each word before it)."""
+    old, p = p, {k: x.copy() for k, x in p.items()}
+    often, n, said = np.bincount(y // lm.SIZE, minlength=lm.CLUSTERS), len(y), []
+    for i, x in enumerate(y):
+        c, inner = divmod(x, lm.SIZE)
+        h = np.tanh(old["hid"] + sum(old["emb"][k][s] for k, s in enumerate(ctx[:, i])))
+        a, b = h @ old["wc"] + old["bc"], h @ old["ww"][c] + old["bw"][c]
+        a, b = np.exp(a - a.max()), np.exp(b - b.max())
+        a, b = a / a.sum(), b / b.sum()
+        said.append(np.log(a[c]) + np.log(b[inner]))
+        a[c] -= 1
+        b[inner] -= 1
+        back = (old["wc"] @ a + old["ww"][c] @ b) * (1 - h * h) * rate
+        p["wc"] -= rate / n**0.5 * np.outer(h, a)
+        p["bc"] -= 0.1 * rate / n**0.5 * a
+        p["ww"][c] -= rate / often[c] ** 0.5 * np.outer(h, b)
+        p["bw"][c] -= 0.1 * rate / often[c] ** 0.5 * b
+        p["hid"] -= back / n**0.5
+        for k, s in enumerate(ctx[:, i]):
+            p["emb"][k][s] -= back / (ctx[k] == s).sum() ** 0.5
+    return p, np.array(said)
+
+
+@pytest.mark.parametrize(("n", "wide"), [(700, 1), (1, 1), (300, 40)])
+def test_steps_are_those_of_each_word(n, wide):
+    """Also where scores are so far apart that rows need a maximum of their own."""
+    rng = np.random.default_rng(n)
+    flat = lm.start(rng.integers(0, 50, lm.SYMBOLS)) * np.float32(wide)
+    y, ctx = rng.zipf(1.3, n) % lm.SYMBOLS, (rng.zipf(1.3, (len(lm._SLOTS), n)) % (lm.SYMBOLS + 1)).astype(np.int16)
+    want, said = _plain_step(lm.unpack(flat.astype(np.float64)), ctx, y, 0.1)
+    p = lm.unpack(flat)
+    assert np.allclose(lm.log_probs(p, ctx, y, 256), said, rtol=1e-4, atol=1e-3)
+    lm.step(p, ctx, y, 0.1)
+    for name in want:
+        assert np.allclose(p[name], want[name], rtol=1e-4, atol=1e-4), name
+
+
+def test_steps_use_kept_memory():
+    """Most of the time of a step had gone into new arrays of the batch's size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    p = lm.unpack(lm.start(rng.integers(0, 50, lm.SYMBOLS)))
+    y, ctx = rng.integers(0, lm.SYMBOLS, lm.BATCH), rng.integers(0, lm.SYMBOLS + 1, (len(lm._SLOTS), lm.BATCH)).astype(np.int16)
+    for call in (lambda: lm.step(p, ctx, y, 0.1), lambda: lm.log_probs(p, ctx, y)):
+        call()
+        tracemalloc.start()
+        call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2 * lm.BATCH * lm.DIM * 4
+
+
+def test_counts_are_of_all_pieces(monkeypatch):
+    """Merged once for many pieces, and the same as of each word."""
+    texts = [f"one two w{i % 5000} W{i % 300} x{i}" for i in range(60_000)] + [None, "", "?!"]
+    merges, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: (merges.append(1), unique(*a, **k))[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    key, n = (np.concatenate(x) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in lm._count(iter([batch]))), strict=True))
+    assert len(merges) < 3
+    h, c = unique(_words(list(enumerate(texts)))[1], return_counts=True)
+    assert dict(zip(key.view(np.uint64).tolist(), n.tolist(), strict=True)) == dict(zip(h.tolist(), c.tolist(), strict=True))
+
+
 def _words(rows):
     _, _, doc, h = words(*buffers(pa.array([t or "" for _, t in rows])))
     return doc, h
