@@ -89,11 +89,12 @@ def runs(words: Column) -> Column:
 def counted(tokenised: DataFrame, stops: list[str], config: BuildConfig = BuildConfig()) -> DataFrame:
     """The rows with ``kept`` (the words that are no stopwords, in order), ``counts`` (term, tf) and ``dl``.
 
-    A title's words count round((title_weight - 1) * occurrences) more; terms left with nothing go.
+    ``every``: the counts of all words, if they are there.  A title's words count round((title_weight - 1) * occurrences) more; terms left with nothing go.
     """
     known = lambda w: ~w.isin(stops) if stops else F.lit(True)
     rows = tokenised.withColumn("kept", F.filter("terms", known))
-    rows = rows.withColumn("counts", runs(F.col("kept")))
+    counts = F.filter("every", lambda x: known(x["term"])) if "every" in tokenised.columns else runs(F.col("kept"))
+    rows = rows.withColumn("counts", counts)
     if "title_terms" in tokenised.columns:
         more = lambda t: F.round((config.title_weight - 1) * F.size(F.filter("title_terms", lambda w: w == t))).cast("bigint")
         added = F.transform("counts", lambda x: F.struct(x["term"].alias("term"), (x["tf"] + more(x["term"])).alias("tf")))
@@ -166,6 +167,55 @@ def block_max(postings: DataFrame, vocab: DataFrame, avgdl: float, config: Build
     )
 
 
+def block_max_of_rows(rows: DataFrame, stops: tuple[str, ...], n_docs: int, avgdl: float, config: BuildConfig = BuildConfig(), size: int = 128) -> DataFrame:
+    """The rows of ``block_max`` for documents (doc_id, terms), of distinct doc_ids; ``stops`` don't count.
+
+    Documents lie in slices by doc_id, so a posting's place is its rank in its slice, after the term's postings in
+    earlier slices; a slice gives one bound for each term and block.
+    """
+    from termloom.plans.index import work_folder
+
+    spark, path = rows.sparkSession, f"{work_folder(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
+    # written, as a slice must be the same for the counts and the ranks
+    kept = F.filter("terms", lambda w: ~w.isin(list(stops))) if stops else F.col("terms")
+    slices = rows.select("doc_id", F.array_join(kept, " ").alias("said")).repartitionByRange("doc_id").withColumn("slice", F.spark_partition_id())
+    slices.write.option("compression", "zstd").parquet(path)
+    placed = spark.read.parquet(path)
+    words = each(placed, F.array_distinct(F.split("said", " ")), "term", "slice").where("term <> ''")
+    per = Window.partitionBy("term")
+    earlier = per.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = words.groupBy("term", "slice").agg(F.count("*").alias("n"))
+    counts = counts.select("term", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), idf(F.sum("n").over(per), F.lit(n_docs)).alias("idf"))
+    k1, b, mean, delta = config.k1, config.b, float(avgdl) or 1.0, config.delta
+
+    def bounds(docs, terms):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        docs = docs.sort_by("doc_id").combine_chunks()
+        lists = pc.split_pattern(docs.column("said"), " ").combine_chunks()
+        n = max(docs.num_rows, 1)
+        doc = np.repeat(np.arange(docs.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        code = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms.column("term").combine_chunks()), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ok = code >= 0
+        dl = np.bincount(doc[ok], minlength=n)
+        key = np.sort(code[ok] * n + doc[ok])
+        heads = lambda x: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+        head = heads(key)
+        term, doc = np.divmod(key[head], n)
+        tf = np.diff(np.append(head, len(key)))
+        bound = terms.column("idf").to_numpy()[term] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean)) + delta)
+        block = (terms.column("before").to_numpy()[term] + np.arange(len(term)) - np.searchsorted(term, term)) // size
+        # blocks ascend within a term
+        first = heads(term * (block.max() + 1 if len(block) else 1) + block)
+        most = np.maximum.reduceat(bound, first) if len(first) else bound
+        return pa.table({"term": terms.column("term").take(pa.array(term[first])), "block": pa.array(block[first]), "bound": pa.array(most)})
+
+    per_slice = placed.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(bounds, "term string, block bigint, bound double")
+    return per_slice.groupBy("term", "block").agg(F.max("bound").alias("bound"))
+
+
 def canonical(corpus: DataFrame) -> DataFrame:
     """(doc_id, canonical): whether a document is the first with its normalised text.
 

@@ -1,22 +1,27 @@
 """Scoring of a batch of queries against an index.
 
-All operators take queries as rows: ``(qid, term)`` with distinct terms, so one query and a million are
-the same plan.  The small table of query terms meets the postings by term (Spark broadcasts it when its
-measured size allows, and shuffles both by term when not); lengths travel with the postings, so scoring
-needs no join with the documents.  Ranking is by the score rounded to 6 decimals, then by doc_id.
+All operators take queries as rows: ``(qid, term)`` with distinct terms.  A batch of up to ``place.LIMIT``
+entries travels to the documents and is scored where they lie.  A larger one meets the postings by term (Spark
+broadcasts it when its measured size allows, and shuffles both by term when not); lengths travel with the
+postings, so scoring needs no join with the documents.  Ranking is by the score rounded to 6 decimals, then by doc_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
 from termloom.functions.subwords import tokeniser
+from termloom.operators import build as B
+from termloom.operators import expand as E
+from termloom.operators import place as L
+from termloom.operators.place import Only
 from termloom.plans.config import BuildConfig
-from termloom.plans.index import Index
+from termloom.plans.index import Index, settled
 
 
 def saturate(w: Column, dl: Column, avgdl: float, config: BuildConfig) -> Column:
@@ -61,10 +66,10 @@ def or_groups(queries: DataFrame, config: BuildConfig = BuildConfig()) -> DataFr
     return groups.select("qid", "grp", F.explode("terms").alias("term"))
 
 
-def lookup(index: Index, terms: DataFrame) -> DataFrame:
+def lookup(index: Index, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """The postings of the terms, with their idf and all columns of ``terms``."""
     known = terms.join(index.vocab.select("term", "idf"), "term").where("idf > 0")
-    return index.postings.join(known, "term")
+    return (index.postings if postings is None else postings).join(known, "term")
 
 
 def _parts(index: Index, alpha: float) -> Column:
@@ -75,16 +80,62 @@ def _parts(index: Index, alpha: float) -> Column:
     return F.col("idf") * exact if alpha <= 0 else F.col("idf") * (alpha * combined + (1 - alpha) * exact)
 
 
-def score(index: Index, terms: DataFrame, alpha: float = 1.0) -> DataFrame:
+def _in_place(index: Index, entries: DataFrame, alpha: float, only: Only, **how) -> DataFrame | None:
+    place = index.here()
+    if place is None or (only.phrases is not None and place.counted):
+        return None
+    return L.score(place, index.vocab, index.avgdl, index.config, entries, alpha, only, **how)
+
+
+def documents(index: Index) -> DataFrame:
+    """(doc_id, terms, fields) of all documents; what else ``docs`` has may take more to compute."""
+    place = index.here()
+    return index.docs if place is None or place.counted else place.rows
+
+
+def _narrowed(index: Index, hits: DataFrame, only: Only) -> DataFrame:
+    """The hits (qid, doc_id, ...) that ``only`` wants, by joins."""
+    if only.excluded is not None:
+        hits = exclude(index, hits, only.excluded)
+    if only.where is not None:
+        hits = hits.join(documents(index).where(only.where).select("doc_id"), "doc_id", "left_semi")
+    if only.phrases is not None:
+        hits = _hold_phrases(index, hits, only.phrases)
+    return hits.join(documents(index).select("doc_id", *only.carry), "doc_id") if only.carry else hits
+
+
+def _six(hits: DataFrame, only: Only) -> DataFrame:
+    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), *only.carry)
+
+
+def score(index: Index, terms: DataFrame, alpha: float = 1.0, only: Only = Only()) -> DataFrame:
     """(qid, doc_id, score) of every document that scores above 0.
 
     ``alpha`` blends the expanded postings with the exact ones: 1 takes the expanded alone, 0 the exact.
     """
-    part = _parts(index, min(max(alpha, 0.0), 1.0))
-    if "weight" in terms.columns:
-        part = part * F.col("weight")
-    hits = lookup(index, terms).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-    return hits.where("score > 0").select("qid", "doc_id", F.round("score", 6).alias("score"))
+    alpha = min(max(alpha, 0.0), 1.0)
+    hits = _in_place(index, terms, alpha, only)
+    if hits is None:
+        part = _parts(index, alpha)
+        if "weight" in terms.columns:
+            part = part * F.col("weight")
+        hits = lookup(index, terms).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+        hits = _narrowed(index, hits.where("score > 0"), only)
+    return _six(hits, only)
+
+
+def _postings_of(index: Index, best: DataFrame, joined) -> DataFrame:
+    """The postings of the documents of ``best`` (doc_id, ...); those of all where they aren't scored in place."""
+    place = index.here()
+    if place is None:
+        return index.postings
+    rows = place.rows.join(joined(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    if place.counted:
+        rows = rows.withColumnRenamed("terms", "counts")
+    else:
+        rows = B.counted(rows.select("doc_id", "terms"), list(place.stops), index.config)
+    lengthy = B.each(rows, F.col("counts"), "c", "doc_id", "dl").select("doc_id", "dl", "c.term", "c.tf")
+    return E.expanded(lengthy, place.edges).select("term", "doc_id", "tf", "w", "dl")
 
 
 def _rank(*order) -> Column:
@@ -107,11 +158,11 @@ def totals(hits: DataFrame) -> DataFrame:
 
 
 def bm25(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
-    return topk(score(index, terms), k)
+    return topk(score(index, terms, only=Only(best=k)), k)
 
 
 def blended(index: Index, terms: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:
-    return topk(score(index, terms, alpha), k)
+    return topk(score(index, terms, alpha, Only(best=k)), k)
 
 
 def exclude(index: Index, hits: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -120,11 +171,14 @@ def exclude(index: Index, hits: DataFrame, excluded: DataFrame) -> DataFrame:
     return hits.join(gone, ["qid", "doc_id"], "left_anti")
 
 
-def score_groups(index: Index, groups: DataFrame) -> DataFrame:
+def score_groups(index: Index, groups: DataFrame, only: Only = Only()) -> DataFrame:
     """Each group of alternatives (qid, grp, term) counts with its best term."""
-    part = _parts(index, 1.0)
-    best = lookup(index, groups).groupBy("qid", "doc_id", "grp").agg(F.max(part).alias("part"))
-    return best.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")).where("score > 0").select("qid", "doc_id", F.round("score", 6).alias("score"))
+    hits = _in_place(index, groups, 1.0, only)
+    if hits is None:
+        best = lookup(index, groups).groupBy("qid", "doc_id", "grp").agg(F.max(_parts(index, 1.0)).alias("part"))
+        hits = best.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
+        hits = _narrowed(index, hits, only)
+    return _six(hits, only)
 
 
 def query_expansion(index: Index, terms: DataFrame, weight: float) -> DataFrame:
@@ -133,25 +187,35 @@ def query_expansion(index: Index, terms: DataFrame, weight: float) -> DataFrame:
     return near.join(terms, ["qid", "term"], "left_anti")
 
 
-def score_expanded_query(index: Index, terms: DataFrame, weight: float, alpha: float = 0.5) -> DataFrame:
+def score_expanded_query(index: Index, terms: DataFrame, weight: float, alpha: float = 0.5, only: Only = Only()) -> DataFrame:
     """The blended score, and that of the neighbours on the exact postings at their weight."""
-    own = lookup(index, terms).select("qid", "doc_id", _parts(index, alpha).alias("part"))
-    near = lookup(index, query_expansion(index, terms, weight)).where("tf > 0").select("qid", "doc_id", (_parts(index, 0.0) * F.col("weight")).alias("part"))
-    total = own.unionByName(near).groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
-    return total.where("score > 0").select("qid", "doc_id", F.round("score", 6).alias("score"))
-
-
-def features(index: Index, terms: DataFrame, k: int, offset: int = 0, allowed: DataFrame | None = None) -> DataFrame:
+    wider = query_expansion(index, terms, weight)
+    one = lambda x: F.lit(float(x))
+    both = terms.select("qid", "term", one(1).alias("weight"), one(min(max(alpha, 0), 1)).alias("alpha")).unionByName(wider.select("qid", "term", "weight", one(0).alias("alpha")))
+    total = _in_place(index, both, alpha, only)
+    if total is None:
+        own = lookup(index, terms).select("qid", "doc_id", _parts(index, alpha).alias("part"))
+        near = lookup(index, wider).where("tf > 0").select("qid", "doc_id", (_parts(index, 0.0) * F.col("weight")).alias("part"))
+        total = own.unionByName(near).groupBy("qid", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
+        total = _narrowed(index, total, only)
+    return _six(total, only)
+
+
+def features(index: Index, terms: DataFrame, k: int, offset: int = 0, only: Only = Only(), allowed: DataFrame | None = None) -> DataFrame:
     """Of the k best: combined, exact and semantic score, coverage of the query, document length.
 
-    ``allowed`` (qid, doc_id): the only hits that may be returned.
+    ``only``, ``allowed`` (qid, doc_id): the only hits that may be returned.
     """
-    both = lookup(index, terms).groupBy("qid", "doc_id").agg(
-        F.sum(_parts(index, 1.0)).alias("combined"), F.sum(_parts(index, 0.0)).alias("exact"), F.max("dl").alias("doc_len")
-    )
+    window = only.all() if allowed is not None else replace(only, best=k + offset)
+    both = _in_place(index, terms, 1.0, window, both=True)
+    if both is None:
+        both = lookup(index, terms).groupBy("qid", "doc_id").agg(
+            F.sum(_parts(index, 1.0)).alias("score"), F.sum(_parts(index, 0.0)).alias("exact"), F.max("dl").alias("doc_len")
+        )
+        both = _narrowed(index, both.where("score > 0"), only)
     found = terms.join(index.vocab.where("idf > 0").select("term", F.lit(1).alias("known")), "term", "left")
     coverage = found.groupBy("qid").agg((F.count("known") / F.count("*")).alias("coverage"))
-    both = both.where("combined > 0").withColumn("score", F.round("combined", 6))
+    both = both.withColumnRenamed("score", "combined").withColumn("score", F.round("combined", 6))
     best = topk(both if allowed is None else both.join(allowed, ["qid", "doc_id"], "left_semi"), k, offset)
     six = lambda c: F.round(c, 6)
     return best.join(coverage, "qid").select(
@@ -160,20 +224,25 @@ def features(index: Index, terms: DataFrame, k: int, offset: int = 0, allowed: D
     )
 
 
+def tier_window(k: int) -> int:
+    """Hits that tiers put in order."""
+    return max(5 * k, k + 50)
+
+
 def rank_tiers(index: Index, hits: DataFrame, tiers: Sequence[tuple[str, bool]], k: int = 10, band: float = 0.10) -> DataFrame:
     """Hits by bands of score below the query's best; within a band by the tiers' columns, then score.
 
     The band is a share of the best score (0 to 1; 0 makes one band of all).  A missing value counts 0.
     """
-    unknown = [name for name, _ in tiers if name not in index.docs.columns]
+    unknown = [name for name, _ in tiers if name not in documents(index).columns]
     if unknown:
         raise ValueError(f"unknown rank field {unknown[0]}")
     if not tiers:
         return topk(hits, k)
     band = min(max(band, 0.0), 1.0)
-    near = topk(hits, max(5 * k, k + 50)).withColumn("best", F.max("score").over(Window.partitionBy("qid")))
+    near = topk(hits, tier_window(k)).withColumn("best", F.max("score").over(Window.partitionBy("qid")))
     bucket = F.floor(F.round((F.col("best") - F.col("score")) / (F.col("best") * band), 9)).cast("int") if band else F.lit(0)
-    rows = near.join(index.docs.select("doc_id", *{name: None for name, _ in tiers}), "doc_id").withColumn("bucket", bucket)
+    rows = near.join(documents(index).select("doc_id", *{name: None for name, _ in tiers}), "doc_id").withColumn("bucket", bucket)
     keys = [(F.coalesce(F.col(name).cast("double"), F.lit(0.0)).asc() if up else F.coalesce(F.col(name).cast("double"), F.lit(0.0)).desc()) for name, up in tiers]
     ranked = rows.withColumn("rank", _rank("bucket", *keys, F.desc("score"), "doc_id"))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score", "bucket")
@@ -181,15 +250,15 @@ def rank_tiers(index: Index, hits: DataFrame, tiers: Sequence[tuple[str, bool]],
 
 def explain(index: Index, terms: DataFrame, k: int = 5) -> DataFrame:
     """(qid, rank, doc_id, score, term, idf, tf, contribution): what each term gives to the k best."""
-    best = topk(score(index, terms), k)
-    parts = lookup(index, terms).withColumn("contribution", _parts(index, 1.0)).where("contribution > 0")
+    best, joined = settled(topk(score(index, terms, only=Only(best=k)), k))
+    parts = lookup(index, terms, _postings_of(index, best, joined)).withColumn("contribution", _parts(index, 1.0)).where("contribution > 0")
     six = lambda c: F.round(c, 6).alias(c)
     return parts.join(best, ["qid", "doc_id"]).select("qid", "rank", "doc_id", "score", "term", six("idf"), F.round("w", 6).alias("tf"), six("contribution"))
 
 
 def facets(index: Index, hits: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(qid, field, value, count) over all hits; values as strings, one pass for all fields."""
-    rows = hits.select("qid", "doc_id").join(index.docs.select("doc_id", *fields), "doc_id")
+    rows = hits if set(fields) <= set(hits.columns) else hits.select("qid", "doc_id").join(documents(index).select("doc_id", *fields), "doc_id")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
     return rows.select("qid", each.alias("f")).groupBy("qid", "f.field", "f.value").agg(F.count("*").alias("count"))
 
@@ -209,7 +278,8 @@ def proximity_bonus(index: Index, hits: DataFrame, terms: DataFrame, weight: flo
     The closest two are neighbours among the occurrences of query terms, so one window finds them.
     """
     # the hits' documents alone are taken apart
-    said = hits.select("qid", "doc_id").join(index.docs.select("doc_id", "terms"), "doc_id")
+    hits, joined = settled(hits)
+    said = documents(index).select("doc_id", "terms").join(joined(hits.select("qid", "doc_id")), "doc_id")
     places = said.select("qid", "doc_id", F.posexplode("terms").alias("pos", "term")).join(terms, ["qid", "term"])
     order = Window.partitionBy("qid", "doc_id").orderBy("pos")
     gap = F.when(F.lag("term").over(order) != F.col("term"), F.col("pos") - F.lag("pos").over(order))
@@ -218,12 +288,8 @@ def proximity_bonus(index: Index, hits: DataFrame, terms: DataFrame, weight: flo
     return hits.join(least, ["qid", "doc_id"], "left").withColumn("score", total).drop("gap", "rank")
 
 
-def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits that hold every quoted phrase of their query word for word.
-
-    The postings decide first which documents hold all of the phrases' indexed words; only those are
-    compared with the phrases, as strings of words between blanks.
-    """
+def quoted_phrases(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, phrases): the words of each quoted phrase."""
     quoted = queries.select("qid", T.phrases(F.col("text")).alias("phrases"))
     if index.config.tokenizer:
         runs = queries.select("qid", F.posexplode(F.regexp_extract_all("text", F.lit('"([^"]*)"'), F.lit(1))).alias("n", "run"))
@@ -231,6 +297,19 @@ def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame
         none = F.array().cast("array<array<string>>")
         listed = runs.groupBy("qid").agg(F.collect_list("p").alias("phrases"))
         quoted = queries.select("qid").join(listed, "qid", "left").select("qid", F.coalesce("phrases", none).alias("phrases"))
+    return quoted
+
+
+def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits that hold every quoted phrase of their query word for word.
+
+    The postings decide first which documents hold all of the phrases' indexed words; only those are
+    compared with the phrases, as strings of words between blanks.
+    """
+    return _hold_phrases(index, hits, quoted_phrases(index, queries))
+
+
+def _hold_phrases(index: Index, hits: DataFrame, quoted: DataFrame) -> DataFrame:
     wanted = quoted.select("qid", F.explode(F.array_distinct(F.flatten("phrases"))).alias("term"))
     # stopwords have no postings: a query whose phrases hold nothing else is decided by comparison alone
     known = wanted.join(index.vocab.select("term"), "term")
@@ -239,7 +318,7 @@ def with_phrases(index: Index, hits: DataFrame, queries: DataFrame) -> DataFrame
     near = hits.join(needed, "qid", "left").join(holds, ["qid", "doc_id"], "left")
     near = near.where(F.coalesce("n", F.lit(0)) == F.coalesce("needed", F.lit(0))).drop("n", "needed")
     blank = F.lit(" ")
-    said = index.docs.select("doc_id", F.concat(blank, F.array_join("terms", " "), blank).alias("__said"))
+    said = documents(index).select("doc_id", F.concat(blank, F.array_join("terms", " "), blank).alias("__said"))
     rows = near.join(quoted, "qid").join(said, "doc_id")
     found = F.forall("phrases", lambda p: F.contains(F.col("__said"), F.concat(blank, F.array_join(p, " "), blank)))
     return rows.where(found).drop("phrases", "__said")
@@ -252,21 +331,30 @@ def canonical_only(index: Index, hits: DataFrame) -> DataFrame:
 
 def relevance_feedback(index: Index, terms: DataFrame, k: int = 10, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3) -> DataFrame:
     """Rocchio: the prf_t best terms of the prf_k best documents join the query, the best at weight alpha."""
-    return topk(feedback_score(index, terms, prf_k, prf_t, alpha), k)
+    return topk(feedback_score(index, terms, prf_k, prf_t, alpha, Only(best=k)), k)
 
 
-def feedback_score(index: Index, terms: DataFrame, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3) -> DataFrame:
-    """(qid, doc_id, score) of all hits of the queries that feedback has widened."""
-    first = topk(score(index, terms), prf_k).select("qid", "doc_id")
-    # the forward index has these documents' terms; the postings are read for the widened queries alone
-    said = first.join(index.forward, "doc_id").select("qid", "dl", F.explode("terms").alias("t")).select("qid", "dl", "t.term", "t.tf")
+def feedback_score(index: Index, terms: DataFrame, prf_k: int = 10, prf_t: int = 10, alpha: float = 0.3, only: Only = Only()) -> DataFrame:
+    """(qid, doc_id, score) of all hits of the queries that feedback has widened.  ``only`` is for the widened ones."""
+    first, joined = settled(topk(score(index, terms, only=Only(best=prf_k)), prf_k).select("qid", "doc_id"))
+    # the documents themselves have these terms; the postings are read for the widened queries alone
+    if index.here() is None:
+        said = first.join(index.forward, "doc_id").select("qid", "dl", F.explode("terms").alias("t")).select("qid", "dl", "t.term", "t.tf")
+    else:
+        said = _postings_of(index, first, joined).where("tf > 0").join(joined(first), "doc_id").select("qid", "dl", "term", "tf")
     said = said.join(index.vocab.select("term", "idf"), "term").join(terms, ["qid", "term"], "left_anti")
     weight = F.sum(F.col("idf") * F.col("tf") / F.greatest(F.col("dl"), F.lit(1)))
     weighed = said.where("idf > 0").groupBy("qid", "term").agg(F.round(weight, 9).alias("w"))
     chosen = weighed.withColumn("rank", _rank(F.desc("w"), "term")).where(F.col("rank") <= prf_t)
     most = F.max("w").over(Window.partitionBy("qid"))
     extra = chosen.select("qid", "term", (alpha * F.col("w") / most).alias("weight"))
-    return score(index, terms.withColumn("weight", F.lit(1.0)).unionByName(extra))
+    wider, _ = settled(terms.select("qid", "term", F.lit(1.0).alias("weight")).unionByName(extra))
+    return score(index, wider, only=only)
+
+
+def mmr_window(k: int) -> int:
+    """Candidates among which k are chosen."""
+    return max(3 * k, k + 20)
 
 
 def diversify(index: Index, terms: DataFrame, k: int = 10, lam: float = 0.7, offset: int = 0, hits: DataFrame | None = None) -> DataFrame:
@@ -278,10 +366,11 @@ def diversify(index: Index, terms: DataFrame, k: int = 10, lam: float = 0.7, off
     """
     lam = min(max(lam, 0.0), 1.0)
     k += offset
-    near = topk(score(index, terms) if hits is None else hits, max(3 * k, k + 20)).select("qid", "doc_id", "score")
-    parts = lookup(index, terms).withColumn("part", _parts(index, 1.0)).where("part > 0").select("qid", "doc_id", "term", "part")
+    window = mmr_window(k)
+    near, joined = settled(topk(score(index, terms, only=Only(best=window)) if hits is None else hits, window).select("qid", "doc_id", "score"))
+    parts = lookup(index, terms, _postings_of(index, near, joined)).withColumn("part", _parts(index, 1.0)).where("part > 0").select("qid", "doc_id", "term", "part")
     rows = parts.join(near, ["qid", "doc_id"])
-    kind = dict(index.postings.dtypes)["doc_id"], dict(terms.dtypes)["qid"]
+    kind = dict(near.dtypes)["doc_id"], dict(terms.dtypes)["qid"]
 
     def choose(pdf):
         import numpy as np
@@ -319,10 +408,14 @@ def pruned(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
     by = Window.partitionBy("qid").orderBy("ub", "term")
     ordered = known.withColumn("below", F.sum("ub").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rarest = known.withColumn("n", _rank(F.desc("idf"), "term")).where("n = 1").select("qid", "term")
-    floor = topk(score(index, rarest), k).groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("least"))
+    floor = topk(score(index, rarest, only=Only(best=k)), k).groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("least"))
     # terms whose bounds, with all smaller ones, stay under the threshold decide nothing alone
     theta = F.when(F.col("found") >= k, F.col("least")).otherwise(0.0)
     needed = ordered.join(floor, "qid", "left").where(F.col("below") >= F.coalesce(theta, F.lit(0.0)) - 1e-6).select("qid", "term")
+    only = Only(best=k)
+    inside = _in_place(index, terms, 1.0, only, required=settled(needed)[0])
+    if inside is not None:
+        return topk(_six(inside, only), k)
     may = index.postings.where("w > 0").join(needed, "term").select("qid", "doc_id").distinct()
     hits = lookup(index, terms).join(may, ["qid", "doc_id"], "left_semi").groupBy("qid", "doc_id").agg(F.sum(_parts(index, 1.0)).alias("score"))
     return topk(hits.where("score > 0").select("qid", "doc_id", F.round("score", 6).alias("score")), k)

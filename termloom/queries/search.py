@@ -66,15 +66,12 @@ def bm25_expanded(s, d):
 
 @query("bm25_exact_part", WIDE + Q.scored(0, "xpost") + Q.top(10))
 def bm25_exact_part(s, d):
-    return S.topk(S.score(near(s, d), terms(s, d), 0.0), 10).select(*HIT)
+    return S.topk(S.score(near(s, d), terms(s, d), 0.0, S.Only(best=10)), 10).select(*HIT)
 
 
 @query("bm25_plus", Q.tables() + Q.asked() + Q.scored(delta=1.0) + Q.top(10))
 def bm25_plus(s, d):
-    import dataclasses
-
-    i = exact(s, d)
-    return S.bm25(dataclasses.replace(i, config=dataclasses.replace(i.config, delta=1.0)), terms(s, d)).select(*HIT)
+    return S.bm25(exact(s, d).configured(delta=1.0), terms(s, d)).select(*HIT)
 
 
 @query("bound_pruned", PLAIN + Q.top(10))
@@ -94,7 +91,7 @@ xs AS (SELECT * FROM sc WHERE (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM xt
 @query("bm25_exclude", Q.tables() + Q.asked(OPERATOR_TEXT) + Q.scored() + _EXCLUDED + Q.top(10, "xs"))
 def bm25_exclude(s, d):
     i, q = exact(s, d), asked(s, d, dashed())
-    return S.topk(S.exclude(i, S.score(i, S.query_terms(q)), S.excluded_terms(q)), 10).select(*HIT)
+    return S.topk(S.score(i, S.query_terms(q), only=S.Only(excluded=S.excluded_terms(q), best=10)), 10).select(*HIT)
 
 
 def _paired():
@@ -108,7 +105,7 @@ sc AS (SELECT qid, doc_id, round(sum(s), 6) AS score FROM gs GROUP BY ALL HAVING
 @query("or_groups", Q.tables() + Q.asked() + _GROUPS + Q.top(10))
 def or_groups(s, d):
     q = asked(s, d).select("qid", T.tokens(C("text")).alias("t")).where(F.size("t") > 0).select("qid", _paired().alias("text"))
-    return S.topk(S.score_groups(exact(s, d), S.or_groups(q)), 10).select(*HIT)
+    return S.topk(S.score_groups(exact(s, d), S.or_groups(q), S.Only(best=10)), 10).select(*HIT)
 
 
 _QEXP = f""", qx AS (SELECT qid, dst AS term, 0.5 * max(sim) AS weight FROM qt JOIN edge ON edge.src = qt.term WHERE (qid, dst) NOT IN (SELECT (qid, term) FROM qt) GROUP BY ALL),
@@ -119,7 +116,7 @@ sc AS (SELECT qid, doc_id, round(sum(p), 6) AS score FROM pt GROUP BY ALL HAVING
 
 @query("qexp", WIDE + _QEXP + Q.top(10))
 def qexp(s, d):
-    return S.topk(S.score_expanded_query(near(s, d), terms(s, d), 0.5), 10).select(*HIT)
+    return S.topk(S.score_expanded_query(near(s, d), terms(s, d), 0.5, only=S.Only(best=10)), 10).select(*HIT)
 
 
 _FEATURES = f""", fb AS (SELECT qid, doc_id, sum(idf * {Q.stf("w")}) AS c, sum(idf * {Q.stf("tf")}) AS e, max(dl) AS doc_len
@@ -142,7 +139,7 @@ SELECT qid, rank, doc_id, score, bucket FROM (SELECT *, CAST(row_number() OVER (
 @query("rank_tiers", PLAIN + _TIERS)
 def rank_tiers(s, d):
     i = exact(s, d)
-    return S.rank_tiers(i, S.score(i, terms(s, d)), [("n_chars", False)])
+    return S.rank_tiers(i, S.score(i, terms(s, d), only=S.Only(best=S.tier_window(10))), [("n_chars", False)])
 
 
 _PRF = f""", fd AS (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 10),
@@ -181,7 +178,8 @@ SELECT qid, field, value, count(*) AS "count" FROM f GROUP BY ALL""",
 )
 def facets(s, d):
     i = exact(s, d)
-    return S.facets(i, S.score(i, terms(s, d)), ["lang", "source"])
+    along = ("lang", "source") if i.here() is not None else ()
+    return S.facets(i, S.score(i, terms(s, d), only=S.Only(carry=along)), ["lang", "source"])
 
 
 _CANDIDATES = ", cd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 100)"
@@ -193,7 +191,7 @@ s2 AS (SELECT qid, doc_id, round(score + 0.25 * coalesce(bonus, 0), 6) AS score
 @query("bigram_bonus", Q.tables() + BIGRAMS + Q.asked() + Q.scored() + _CANDIDATES + _PAIRS + Q.top(10, "s2"))
 def bigram_bonus(s, d):
     i, q = exact(s, d), asked(s, d)
-    hits = S.topk(S.score(i, S.query_terms(q)), 100)
+    hits = S.topk(S.score(i, S.query_terms(q), only=S.Only(best=100)), 100)
     return S.topk(S.bigram_bonus(i, hits, S.ordered_pairs(q)), 10).select(*HIT)
 
 
@@ -206,7 +204,7 @@ s2 AS (SELECT qid, doc_id, round(score + coalesce(1.0 / (1 + gap), 0), 6) AS sco
 @query("proximity", PLAIN + _CANDIDATES + _NEARBY + Q.top(10, "s2"))
 def proximity(s, d):
     i, t = exact(s, d), terms(s, d)
-    return S.topk(S.proximity_bonus(i, S.topk(S.score(i, t), 100), t), 10).select(*HIT)
+    return S.topk(S.proximity_bonus(i, S.topk(S.score(i, t, only=S.Only(best=100)), 100), t), 10).select(*HIT)
 
 
 def _quoted():
@@ -220,12 +218,12 @@ s2 AS (SELECT qid, doc_id, score FROM sc JOIN ph USING (qid) JOIN tokd USING (do
 @query("phrase", PLAIN + _PHRASE + Q.top(10, "s2"))
 def phrase(s, d):
     i, q = exact(s, d), asked(s, d, _quoted())
-    return S.topk(S.with_phrases(i, S.score(i, S.query_terms(q)), q), 10).select(*HIT)
+    return S.topk(S.score(i, S.query_terms(q), only=S.Only(phrases=S.quoted_phrases(i, q), best=10)), 10).select(*HIT)
 
 
 def _filtered(s, d, *clauses):
     i, q = exact(s, d), asked(s, d)
-    return S.topk(P.hits_of(i, q, SearchOptions(alpha=1.0, filters=clauses, phrase=False)), 10).select(*HIT)
+    return S.topk(P.hits_of(i, q, SearchOptions(alpha=1.0, filters=clauses, phrase=False), 10), 10).select(*HIT)
 
 
 def _filter_sql(where: str) -> str:
@@ -424,11 +422,11 @@ s2 AS (SELECT qid, doc_id, round(len(list_filter(a, lambda w: list_contains(b, w
 @query("cross_encoder", PLAIN + _OVERLAP + Q.top(10, "s2"))
 def cross_encoder(s, d):
     i, q = exact(s, d), asked(s, d)
-    return R.rerank_pairs(S.score(i, S.query_terms(q)), q, documents(s, d), overlap).select(*HIT)
+    return R.rerank_pairs(S.score(i, S.query_terms(q), only=S.Only(best=50)), q, documents(s, d), overlap).select(*HIT)
 
 
 def _run(s, d):
-    return S.topk(S.score(exact(s, d), terms(s, d)), 100)
+    return I.settled(S.topk(S.score(exact(s, d), terms(s, d), only=S.Only(best=100)), 100))[0]
 
 
 def _qrels(s, d, run):
