@@ -130,7 +130,12 @@ SELECT term, block, round(max(bound), 6) AS bound FROM r GROUP BY ALL""",
 )
 def block_max(s, d):
     i = I.of_folder(s, d, BuildConfig())
-    return B.block_max(i.postings, i.vocab, i.avgdl).select("term", "block", six("bound"))
+    place = i.here()
+    if place is None:
+        rows = B.block_max(i.postings, i.vocab, i.avgdl)
+    else:
+        rows = B.block_max_of_rows(place.rows, place.stops, i.n_docs, i.avgdl)
+    return rows.select("term", "block", six("bound"))
 
 
 @query("dedup_canonical", f"SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY {Q.squash(f'lower({Q.norm("text")})')}) AS canonical FROM documents")
@@ -158,14 +163,14 @@ def spell_deletes(s, d):
     return B.spell_deletes(B.spell_words(documents(s, d)))
 
 
-def _vectors(s, d, p):
+def _vectors(s, d):
     table = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
-    return E.assign_vectors(B.vocabulary(p.tf, p.n), table)
+    return E.assign_vectors(I.of_folder(s, d, BuildConfig()).vocab, table)
 
 
 @query("cosine_topk", Q.tables() + Q.edges(None) + " SELECT src, dst, sim, CAST(rank AS INTEGER) AS rank FROM edge")
 def cosine_topk(s, d):
-    return E.cosine_topk(_vectors(s, d, Parts(s, d)), 10)
+    return E.cosine_topk(_vectors(s, d), 10)
 
 
 @query(
@@ -181,7 +186,7 @@ def quantised_vectors(s, d):
 
 @query("qexp_graph", Q.tables() + Q.edges() + " SELECT src, dst, sim FROM edge")
 def qexp_graph(s, d):
-    return E.cosine_topk(_vectors(s, d, Parts(s, d)), 10, 0.3).select("src", "dst", "sim")
+    return E.cosine_topk(_vectors(s, d), 10, 0.3).select("src", "dst", "sim")
 
 
 @query("neighbour_inversion", Q.tables() + Q.edges() + " SELECT dst, string_agg(src, ' ' ORDER BY sim DESC, src) AS sources FROM edge GROUP BY dst")
